@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from causalbars.llm import token_files
+from causalbars.llm import decontaminate, token_files
 
 
 def queries() -> dict:
-    return {"op1_token_files": token_files.query}
+    return {"op1_token_files": token_files.query, "op2_decontaminate": decontaminate.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontaminate": decontaminate.ORACLE}
