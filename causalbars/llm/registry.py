@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from causalbars.llm import chat, decontaminate, sharding, token_files
+from causalbars.llm import chat, decontaminate, mixing, neighbours, quality, sharding, token_files
 
 
 def queries() -> dict:
-    return {"op1_token_files": token_files.query, "op2_decontaminate": decontaminate.query, "op7_sharding": sharding.query, "op8_chat_format": chat.query}
+    return {
+        "op1_token_files": token_files.query,
+        "op2_decontaminate": decontaminate.query,
+        "op4_neighbours": neighbours.query,
+        "op6_mixing": mixing.query,
+        "op7_sharding": sharding.query,
+        "op8_chat_format": chat.query,
+        "op9_quality": quality.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
