@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causalbars.llm import chat, decontaminate, mixing, neighbours, quality, sharding, token_files
+from causalbars.llm import chat, decontaminate, mixing, neighbours, ngram_join, quality, sharding, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_sharding": sharding.query,
         "op8_chat_format": chat.query,
         "op9_quality": quality.query,
+        "op10_ngram_join": ngram_join.query,
     }
 
 
