@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Rows of (id, hash) that may be broadcast: about 32 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ``keys(doc_id, text_hash, ...)`` by id (null is null's equal) and xxhash64 of the text.
+
+    Keys are counted first: few are broadcast, so that no text moves, and more are joined by a shuffle.
+    """
+    keys = written(docs.sparkSession, keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "keys")
+    small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

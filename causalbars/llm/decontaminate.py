@@ -47,13 +47,13 @@ def _prefixed(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_words, hits (sorted, disjoint word ranges ``start``/``end`` that
+    """One row per row of ``documents``: doc_id, text_hash (xxhash64 of the text), n_words, hits (sorted, disjoint word ranges ``start``/``end`` that
     item windows cover) and items (sorted ids, as strings, of the items with occurring windows).
 
     A null text has no words. Items without id or without words take no part; items that share an id count as one.
     Repeated rows give a row each. Other columns are ignored.
     """
-    docs = documents.select("doc_id", words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    docs = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
     windows = common.written(spark, item_windows(benchmark, size), "windows")
     total = windows.agg(F.sum(F.expr("64 + aggregate(window, 0L, (a, x) -> a + octet_length(x) + 16) + aggregate(items, 0L, (a, x) -> a + octet_length(x) + 16)"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
@@ -61,7 +61,7 @@ def search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size
     for block in range(blocks):
         own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
         prefixed = common.written(spark, _prefixed(docs, own), "prefixes")
-        at = docs.select("row", "doc_id", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("at", "token"))
+        at = docs.select("row", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("at", "token"))
         match = (
             (at["token"] == prefixed["token"])
             & (F.col("at") >= F.col("place"))
@@ -70,15 +70,21 @@ def search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size
         )
         hits = at.join(F.broadcast(prefixed), match, "left")
         # The first word's row stays without a match too: each document must come through once at least.
-        hits = hits.filter("items IS NOT NULL OR at IS NULL OR at = 0").select("row", "doc_id", "n_words", "items", F.expr("IF(items IS NULL, NULL, struct(at - place AS start, at - place + size(window) AS end))").alias("hit"))
+        hits = hits.filter("items IS NOT NULL OR at IS NULL OR at = 0").select("row", "doc_id", "text_hash", "n_words", "items", F.expr("IF(items IS NULL, NULL, struct(at - place AS start, at - place + size(window) AS end))").alias("hit"))
         found.append(hits)
     hits = reduce(DataFrame.unionByName, found)
-    per = hits.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per = hits.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = """aggregate(hits, cast(array() as array<struct<start:int,end:int>>), (done, x) ->
         IF(size(done) > 0 AND element_at(done, -1).end >= x.start,
            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start AS start, greatest(element_at(done, -1).end, x.end) AS end))),
            concat(done, array(struct(x.start AS start, x.end AS end)))))"""
-    return per.select("doc_id", "n_words", F.expr(merged).alias("hits"), "items")
+    return per.select("doc_id", "text_hash", "n_words", F.expr(merged).alias("hits"), "items")
+
+
+def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """``documents`` without those in which a window of an item occurs."""
+    found = search(spark, documents, benchmark, size).filter("size(items) > 0").select("doc_id", "text_hash").distinct()
+    return common.by_key(documents, found, "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ SUB = 20_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(hist: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -83,7 +83,7 @@ def tilt(spark: SparkSession, cells: DataFrame, sources: DataFrame, cap: int = C
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target (its source's) and copies (0 to ``cap``).
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64 of the text), size, source_size, target (its source's) and copies (0 to ``cap``).
 
     A null text has size 0 and one copy; a null source is a source, the last. Documents that share an id are documents
     of their own; equal rows are interchangeable. An empty table gives no rows.
@@ -110,7 +110,14 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -
     own = sized.withColumn("h", F.xxhash64("doc_id", "size")).join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).withColumn("sub", F.expr(f"pmod(h, n div {SUB} + 1)"))
     subs = own.groupBy("src", "size", "sub").agg(F.count("*").alias("m")).selectExpr("src AS src2", "size AS size2", "sub AS sub2", "sum(m) OVER (PARTITION BY src, size ORDER BY sub) - m AS before")
     ranked = own.join(subs, (F.col("src") == F.col("src2")) & (F.col("size") == F.col("size2")) & (F.col("sub") == F.col("sub2"))).selectExpr("*", "before + row_number() OVER (PARTITION BY src, size, sub ORDER BY h, doc_id) AS place")
-    return ranked.selectExpr("doc_id", "size", "source_size", "target", "cast(floor(place * k / n) - floor((place - 1) * k / n) AS int) AS copies")
+    return ranked.selectExpr("doc_id", "text_hash", "size", "source_size", "target", "cast(floor(place * k / n) - floor((place - 1) * k / n) AS int) AS copies")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it. Equal rows get equal parts of their copies, rounded."""
+    taken = mix(spark, docs, weights, cap).groupBy("doc_id", "text_hash").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    columns = [f"`{c}`" for c in docs.columns]
+    return common.by_key(docs, taken.filter("_copies > 0"), "inner").selectExpr(*columns, "explode(sequence(1, _copies)) AS _copy").drop("_copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def _send(k: int, buckets: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("shared", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("shared", pa.int64()), ("tokens", pa.binary()), ("owners", pa.binary())])
         part, segment = TaskContext.get().partitionId() << 24, 0
         docs, sets, first, gathered = [], [], {}, 0
 
@@ -73,20 +73,20 @@ def _send(k: int, buckets: int):
                 if hi > lo:
                     low = (tokens[lo:hi] >> np.uint64(16)).astype(np.uint32)  # below the bits that tell buckets apart
                     rows.append({"bucket": b, "segment": me, "tokens": low.tobytes(), "owners": alone[lo:hi].astype(np.uint32 if len(sets) > 65534 else np.uint16).tobytes()})
-            for doc_id, n, sig, owner in docs:
-                rows.append({"bucket": me % buckets, "segment": me, "owner": owner, "doc_id": doc_id, "n": n, "sig": sig, "shared": int(shared[owner])})
+            for doc_id, text_hash, n, sig, owner in docs:
+                rows.append({"bucket": me % buckets, "segment": me, "owner": owner, "doc_id": doc_id, "text_hash": text_hash, "n": n, "sig": sig, "shared": int(shared[owner])})
             for lo in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[lo : lo + 1000], schema)
             docs, sets, first, gathered, segment = [], [], {}, 0, segment + 1
 
         for batch in batches:
-            for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+            for doc_id, text_hash, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True):
                 sig = signature(own)
                 if sig not in first:  # copies share their first one's answer
                     first[sig] = len(sets)
                     sets.append(own)
                     gathered += len(own)
-                docs.append((doc_id, len(own), sig, first[sig]))
+                docs.append((doc_id, text_hash, len(own), sig, first[sig]))
             if gathered >= SEGMENT or len(docs) >= SEGMENT // 16:
                 yield from flush()
         if docs:
@@ -95,20 +95,21 @@ def _send(k: int, buckets: int):
     return run
 
 
-DOC = "segment long, owner int, doc_id long, n long, sig string, shared long, answer binary"
+DOC = "segment long, owner int, doc_id long, text_hash long, n long, sig string, shared long, answer binary"
 
 
 def _answer(batches):
     """Passes documents on; for each segment's part of a bucket, counts its owners' shingles that occur elsewhere."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    schema = pa.schema([("segment", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("shared", pa.int64()), ("answer", pa.binary())])
+    schema = pa.schema([("segment", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("shared", pa.int64()), ("answer", pa.binary())])
     held: dict[int, list] = {}
     for batch in batches:
-        docs = batch.filter(pa.compute.is_valid(batch.column("sig")))
+        docs = batch.filter(pc.is_valid(batch.column("sig")))
         if docs.num_rows:
             yield pa.RecordBatch.from_arrays([*(docs.column(n) for n in schema.names[:-1]), pa.nulls(docs.num_rows, pa.binary())], schema=schema)
-        for r in batch.filter(pa.compute.is_valid(batch.column("tokens"))).select(["bucket", "segment", "tokens", "owners"]).to_pylist():
+        for r in batch.filter(pc.is_valid(batch.column("tokens"))).select(["bucket", "segment", "tokens", "owners"]).to_pylist():
             tokens = np.frombuffer(r["tokens"], np.uint32)
             owners = np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(tokens) else np.uint32)
             held.setdefault(r["bucket"], []).append((r["segment"], tokens, owners))
@@ -147,19 +148,19 @@ def _decide(threshold: int):
                         counts[w] = counts.get(w, 0) + c
                 else:
                     shared = r["shared"] + counts.get(r["owner"], 0)
-                    rows.append({"doc_id": r["doc_id"], "n": r["n"], "sig": r["sig"], "active": r["n"] > 0 and 100 * shared >= threshold * r["n"]})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("active", pa.bool_())]))
+                    rows.append({"doc_id": r["doc_id"], "text_hash": r["text_hash"], "n": r["n"], "sig": r["sig"], "active": r["n"] > 0 and 100 * shared >= threshold * r["n"]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("active", pa.bool_())]))
 
     return run
 
 
 def filtered(spark: SparkSession, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(doc_id, n, sig, active) of each document; only active ones can have a partner with another set."""
+    """(doc_id, text_hash, n, sig, active) of each document; only active ones can have a partner with another set."""
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.mapInArrow(_send(k, buckets), "bucket int, segment long, owner int, doc_id long, n long, sig string, shared long, tokens binary, owners binary")
+    sent = docs.mapInArrow(_send(k, buckets), "bucket int, segment long, owner int, doc_id long, text_hash long, n long, sig string, shared long, tokens binary, owners binary")
     answered = common.written(spark, sent.repartition("bucket").mapInArrow(_answer, DOC), "join-answers")
     ordered = answered.repartition("segment").sortWithinPartitions("segment", F.col("answer").isNull())
-    return common.written(spark, ordered.mapInArrow(_decide(threshold), "doc_id long, n long, sig string, active boolean"), "join-documents")
+    return common.written(spark, ordered.mapInArrow(_decide(threshold), "doc_id long, text_hash long, n long, sig string, active boolean"), "join-documents")
 
 
 # --- 2. classes, gluing
@@ -366,14 +367,15 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles and component_id, the least id that links reach.
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, the least id
+    that links reach, and component, a name of the component that null ids have too (null without shingles).
 
     Two documents link when 100 * overlap >= threshold * union of their sets. Null and empty texts have no shingles and
     link with nothing, not even each other. Rows that share an id stay rows of their own; a null id is never the
     least one, and a component of null ids alone has none. An empty table gives no rows.
     """
     common.small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     rows = filtered(spark, texts, k, threshold)
     classes = common.written(spark, rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("active").alias("active")), "join-classes")
     asked = classes.filter("active")
@@ -385,10 +387,25 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int
     comps = components(spark, common.written(spark, links(spark, sets, threshold), "join-links"))
     named = classes.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    final = named.join(least, "component").select("sig", "component_id")
-    full = rows.filter("n > 0").join(final, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    final = named.join(least, "component").select("sig", "component_id", "component")
+    full = rows.filter("n > 0").join(final, "sig").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "component")
+    return full.unionByName(rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("component")))
+
+
+def representatives(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each component: the one of the least id (null last), then of the least hash of its
+    text. Documents without shingles all stay. Of a representative's repeated rows one stays."""
+    rows = common.written(spark, join(spark, docs, k, threshold).filter("component IS NOT NULL"), "join-rows")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")).select("component", F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
+    told = rows.join(first, "component").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    dropped = told.filter("NOT is_first").select("doc_id", "text_hash").distinct()
+    repeated = common.written(spark, told.filter("is_first").groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "join-repeated")
+    kept = common.by_key(docs, dropped, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = common.by_key(kept, repeated, "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return common.by_key(kept, repeated, "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark, common.table(spark, sf_dir, "documents"))
+    return join(spark, common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

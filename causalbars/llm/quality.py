@@ -127,26 +127,46 @@ def _score(model: dict, batches):
     import pyarrow as pa
 
     for batch in batches:
-        x = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(-1, FEATURES)
+        x = np.asarray([features(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(-1, FEATURES)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(model, x))], [*batch.schema.names[:-1], "score"])
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out (crc32 of the id as text is divisible by 5) and score.
+HELD_OUT = "crc32(coalesce(cast(doc_id AS string), '')) % 5 = 0"
 
-    Labels count for rows that are not held out, of ``fit_on`` (default: ``docs``). An id with several labels has the
-    least of them; null ids and null labels are none. Null text: as empty. Repeated rows give a row each. Without
-    labelled rows of either class each score is the smoothed share of label 1.
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
+    """Model of the labelled documents that are not held out (crc32 of the id as text is not divisible by 5).
+
+    An id with several labels has the least of them; null ids and other labels than 0 and 1 are none.
     """
-    common.small_batches(spark)
-    held_out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out")
-    stats = common.written(spark, extract(docs.select("doc_id", held_out, F.col("text").cast("string").alias("text"))), "quality")
-    base = stats if fit_on is None else common.written(spark, extract(fit_on.select("doc_id", held_out, F.col("text").cast("string").alias("text"))), "quality-fit")
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    model = fit(base.filter("NOT held_out").join(known, "doc_id").select("label", "x"))
-    return stats.mapInArrow(functools.partial(_score, model), "doc_id long, held_out boolean, score double")
+    known = common.written(spark, known, "quality-labels")
+    known = F.broadcast(known) if known.count() <= common.BROADCAST_ROWS else known
+    return fit(extract(docs.filter(f"NOT ({HELD_OUT})").join(known, "doc_id").select("label", F.col("text").cast("string").alias("text"))))
+
+
+def classify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out and score. Null text: as empty; a null id is not held out unless
+    crc32 of the empty text says so. Without labelled rows of either class all scores are the smoothed share of label 1."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(functools.partial(_score, model), "doc_id long, held_out boolean, score double")
+
+
+def _filter(model: dict, at: int, keep: float, batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        x = np.asarray([features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
+        yield batch.filter(pa.array(scores(model, x) >= keep))
+
+
+def keep(docs: DataFrame, model: dict, least: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    return docs.mapInArrow(functools.partial(_filter, model, docs.columns.index("text"), least), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = classify(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    found = classify(spark, docs, train(spark, docs, common.table(spark, sf_dir, "labels")))
     return found.withColumn("predicted", (F.col("score") >= KEEP).cast("int"))
