@@ -21,15 +21,17 @@ from causalbars.llm import common
 #: Stands for a null id in ``part-k.docs``.
 NULL_ID = -(2**63)
 MANIFEST = "part int, n_docs long, n_tokens long"
-#: Texts are taken in groups of about so many characters, and this many encoded pieces are remembered at most.
-GROUP_CHARS, REMEMBERED = 1 << 20, 400_000
+#: So many encoded pieces are remembered by a Python worker at most.
+REMEMBERED = 1_000_000
 
 
 class PieceEncoder:
     """Encodes whole texts by pieces between ASCII white space, remembering the ids of recent pieces.
 
     For tokenizers that drop white space and never join across it, the ids of a text are the ids of its pieces in a
-    row; ``exact`` tells whether a tokenizer is of that kind, and others encode each text in one go.
+    row; ``exact`` tells whether a tokenizer is of that kind, and others encode each text in one go. Where it also
+    lower-cases and parts letters from what follows (``folds``), a piece is looked up by its lower-cased stem and its
+    closing points, so that fewer pieces are new. Pieces are split and told apart by Arrow, a batch at a time.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -38,28 +40,60 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype, self.known, self.stems = Tokenizer.from_file(path), dtype, {}, {}
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.exact = all(self._whole(a + s + b) == self._whole(a) + self._whole(b) for a, b in (("It's", "a 12x"), ("ée", "'s b,")) for s in " \t\n\r\x0b\x0c")
+        whole = lambda *texts: [i for t in texts for i in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        self.exact = all(whole(a + s + b) == whole(a, b) for a, b in (("It's", "a 12x"), ("ée", "'s b,")) for s in " \t\n\r\x0b\x0c")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folds = self.exact and all("<" in t for t in special) and all(whole(a + s) == whole(a.lower(), s) for a in ("IT'S", "Ünd", "éA", "12x") for s in (".", ",", "..,"))
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.many(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.exact:
-            return self._bytes(texts)
-        pieces = [t.encode().split() for t in texts]
+    def _parts(self, piece: str) -> tuple[str, str]:
+        """A piece's stem, A-Z lower-cased, and the points after it."""
+        if not self.folds or "<" in piece:
+            return piece, ""
+        low = piece.lower() if piece.isascii() else piece
+        stem = low.rstrip(".,")
+        return (stem, low[len(stem) :]) if stem[-1:].isascii() and stem[-1:].isalpha() else (low, "")
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if missing := list({p for own in pieces for p in own if p not in self.known}):
-            self.known.update(zip(missing, self._bytes([p.decode() for p in missing]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        if missing := [p for p in pieces if p not in self.known]:
+            parts = [self._parts(p) for p in missing]
+            if new := list({x for pair in parts for x in pair} - self.stems.keys()):
+                self.stems.update(zip(new, self._ids(new), strict=True))
+            self.known.update((p, self.stems[a] + self.stems[b]) for p, (a, b) in zip(missing, parts, strict=True))
+        return [self.known[p] for p in pieces]
+
+    def encode(self, texts):
+        """(ids of all texts in a row, ids in each text) of an Arrow array of strings; null: none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        if not self.exact:
+            own = self._ids(texts.to_pylist())
+            lens = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(self.dtype).itemsize
+            return np.frombuffer(b"".join(own), self.dtype), lens
+        pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = pieces.flatten().dictionary_encode()
+        kinds = self._lookup(coded.dictionary.to_pylist())
+        at = np.asarray(coded.indices)
+        size = np.fromiter(map(len, kinds), np.int64, len(kinds)) // np.dtype(self.dtype).itemsize
+        flat, first = np.frombuffer(b"".join(kinds), self.dtype), np.concatenate([[0], np.cumsum(size)])
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])]
+        words = np.concatenate([[0], np.cumsum(np.asarray(pieces.value_lengths(), np.int64))])
+        return ids, np.diff(ends[words])
 
 
 @functools.lru_cache(maxsize=1)
@@ -105,7 +139,6 @@ def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer, dtype)
-        end, width = np.asarray([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
         fs, path = common.filesystem(root)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.part-{part:06d}.ids.{os.getpid()}.{uuid.uuid4().hex}"
@@ -113,21 +146,15 @@ def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 docs.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
-                texts, group, chars = batch.column(1), [], 0
-                for i in range(len(texts)):
-                    group.append(text := texts[i].as_py() or "")
-                    chars += len(text)
-                    if chars >= GROUP_CHARS or i + 1 == len(texts):
-                        for ids in encoder.encode(group):
-                            out.write(ids)
-                            out.write(end)
-                            lens.append(len(ids) // width + 1)
-                        group, chars = [], 0
+                ids, each = encoder.encode(batch.column(1))
+                ends = np.cumsum(each)
+                out.write(np.insert(ids, ends, np.asarray(end_id, dtype)).tobytes())
+                lens.append(each + 1)
         fs.move(own, f"{path}/part-{part:06d}.ids")
         _put(root, f"part-{part:06d}.docs", [x.tobytes() for x in docs])
-        sizes = np.asarray(lens, "<u4")
+        sizes = np.concatenate([np.empty(0, "<u4"), *lens]).astype("<u4")
         _put(root, f"part-{part:06d}.lens", [sizes.tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(lens)], pa.int64()), pa.array([int(sizes.sum(dtype="u8"))], pa.int64())], ["part", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum(dtype="u8"))], pa.int64())], ["part", "n_docs", "n_tokens"])
 
     return run
 
