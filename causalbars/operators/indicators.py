@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalbars.operators.panel import OWN, dense, trailing, with_rows
+from causalbars.operators.panel import own_clock, dense, trailing, with_rows
 
 
 def sma(bars: DataFrame, short: int, long: int) -> DataFrame:
@@ -22,7 +22,7 @@ def crossovers(bars: DataFrame, short: int, long: int) -> DataFrame:
     """
     above = F.when(F.col("sma_short").isNotNull() & F.col("sma_long").isNotNull(), F.sum("close").over(trailing(short)) * long > F.sum("close").over(trailing(long)) * short)
     marked = sma(bars, short, long).withColumn("above", above)
-    before = F.lag("above").over(OWN)
+    before = F.lag("above").over(own_clock())
     return marked.withColumns({
         "bull_cross": F.coalesce(F.col("above") & ~before, F.lit(False)),
         "bear_cross": F.coalesce(~F.col("above") & before, F.lit(False)),
@@ -34,13 +34,13 @@ def signals(bars: DataFrame, calendar: DataFrame, short: int, long: int) -> Data
     """Crossovers on the symbols' bars with bars_since_cross in rows of the union calendar (NULL before the first)."""
     marked = with_rows(crossovers(bars, short, long), calendar)
     cross = F.when(F.col("bull_cross") | F.col("bear_cross"), F.col("row_id"))
-    return marked.withColumn("bars_since", F.col("row_id") - F.max(cross).over(OWN.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.withColumn("bars_since", F.col("row_id") - F.max(cross).over(own_clock().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def signal_panel(bars: DataFrame, calendar: DataFrame, short: int, long: int) -> DataFrame:
     """Signals on every calendar row: flags false off the bars, regime carried forward (0 before it is known)."""
     marked = crossovers(bars, short, long).select("symbol", "date", "sma_short", "sma_long", "bull_cross", "bear_cross", "regime")
-    past = OWN.rowsBetween(Window.unboundedPreceding, 0)
+    past = own_clock().rowsBetween(Window.unboundedPreceding, 0)
     panel = dense(bars, calendar).join(marked, ["symbol", "date"], "left")
     cross = F.when(F.col("bull_cross") | F.col("bear_cross"), F.col("row_id"))
     return panel.withColumns({

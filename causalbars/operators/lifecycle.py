@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from causalbars.config import Settings
 from causalbars.functions.costs import slipped
 from causalbars.operators.joins import dividends_over
-from causalbars.operators.panel import OWN, band_blocked, dense, rolling_median, tradeable, trailing
+from causalbars.operators.panel import own_clock, band_blocked, dense, rolling_median, tradeable, trailing
 
 
 def configurations(spark: SparkSession, settings: dict[str, Settings], universes: dict[str, str] | None = None) -> DataFrame:
@@ -32,11 +32,11 @@ def configurations(spark: SparkSession, settings: dict[str, Settings], universes
 
 def market(bars: DataFrame, calendar: DataFrame, circuit_pct: float = 0.10, tolerance: float = 0.002, lookback: int = 60) -> DataFrame:
     """The dense panel with all that fills and marks need, computed once for all configurations."""
-    own = bars.withColumn("prev_close", F.lag("close").over(OWN)).select("symbol", "date", "prev_close")
+    own = bars.withColumn("prev_close", F.lag("close").over(own_clock())).select("symbol", "date", "prev_close")
     panel = dense(bars, calendar).join(own, ["symbol", "date"], "left")
     panel = panel.withColumns({
         "median_turnover": rolling_median(F.col("close") * F.col("volume"), lookback, lookback // 2),
-        "mark": F.last("close", ignorenulls=True).over(OWN.rowsBetween(Window.unboundedPreceding, 0)),
+        "mark": F.last("close", ignorenulls=True).over(own_clock().rowsBetween(Window.unboundedPreceding, 0)),
         "trades": tradeable(F.col("open"), F.col("volume")),
         "closes": tradeable(F.col("close"), F.col("volume")),
         "buy_band": band_blocked(F.col("open"), F.col("prev_close"), "BUY", circuit_pct, tolerance),
@@ -44,10 +44,10 @@ def market(bars: DataFrame, calendar: DataFrame, circuit_pct: float = 0.10, tole
     })
     sells = F.col("trades") & ~F.col("sell_band")
     blocked = (F.col("trades") & F.col("sell_band")).cast("int")
-    after = OWN.rowsBetween(1, Window.unboundedFollowing)
+    after = own_clock().rowsBetween(1, Window.unboundedFollowing)
     return panel.withColumns({
         "next_sell": F.min(F.when(sells, F.struct("row_id", "date", "open"))).over(after),
-        "blocked_upto": F.sum(blocked).over(OWN.rowsBetween(Window.unboundedPreceding, 0)),
+        "blocked_upto": F.sum(blocked).over(own_clock().rowsBetween(Window.unboundedPreceding, 0)),
         "blocked_all": F.sum(blocked).over(Window.partitionBy("symbol")),
     })
 
@@ -63,7 +63,7 @@ def crosses(bars: DataFrame, calendar: DataFrame, pairs: list[tuple[int, int]])
     sums = {f"s{n}": F.when(F.count("close").over(trailing(n)) == n, F.sum("close").over(trailing(n))) for n in windows}
     rows = rows.withColumns(sums)
     rows = rows.withColumns({f"a{s}_{l}": F.col(f"s{s}") * l > F.col(f"s{l}") * s for s, l in pairs})
-    rows = rows.withColumns({f"c{s}_{l}": F.lag(f"a{s}_{l}").over(OWN) != F.col(f"a{s}_{l}") for s, l in pairs})
+    rows = rows.withColumns({f"c{s}_{l}": F.lag(f"a{s}_{l}").over(own_clock()) != F.col(f"a{s}_{l}") for s, l in pairs})
     each = [F.when(F.col(f"c{s}_{l}"), F.struct(F.lit(s).alias("short"), F.lit(l).alias("long"), F.col(f"a{s}_{l}").alias("bull"), (F.col(f"s{s}") / s).alias("sma_short"), (F.col(f"s{l}") / l).alias("sma_long"))) for s, l in pairs]
     long = rows.select("symbol", "row_id", "date", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("symbol", "row_id", "date", "x.*")
     w = Window.partitionBy("short", "long", "symbol").orderBy("row_id")

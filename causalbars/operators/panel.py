@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("symbol").orderBy("date")
+
+def own_clock():
+    """A symbol's rows in the order of time. One specification, so that windows share an exchange and a sort."""
+    return Window.partitionBy("symbol").orderBy("date")
+
 
 
 def union_calendar(bars: DataFrame) -> DataFrame:
@@ -36,7 +40,7 @@ def between(rows: DataFrame, start: str | None = None, end: str | None = None, o
 
 def trailing(rows: int):
     """The last ``rows`` rows of a symbol, the current one included."""
-    return OWN.rowsBetween(-(rows - 1), 0)
+    return own_clock().rowsBetween(-(rows - 1), 0)
 
 
 def rolling_median(value: Column, rows: int, least: int) -> Column:

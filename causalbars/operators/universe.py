@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalbars.operators.panel import OWN, dense, rolling_median
+from causalbars.operators.panel import own_clock, dense, rolling_median
 
 
 def static_membership(bars: DataFrame, listed: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def turnover_history(bars: DataFrame, calendar: DataFrame, lookback: int = 60) -
     panel = dense(bars, calendar)
     return panel.withColumns({
         "median_turnover": rolling_median(F.col("close") * F.col("volume"), lookback, lookback // 2),
-        "history": F.count("close").over(OWN.rowsBetween(Window.unboundedPreceding, 0)),
+        "history": F.count("close").over(own_clock().rowsBetween(Window.unboundedPreceding, 0)),
     })
 
 

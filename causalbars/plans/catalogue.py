@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from causalbars.config import Settings
 from causalbars.functions.costs import buy_cost, disagreements, order_cost, parse_quotes, sell_cost, slipped
 from causalbars.operators import indicators, joins, lifecycle, metrics, nulls, orders, portfolio, selection_bias, sessions, sweep, universe
-from causalbars.operators.panel import OWN, band_blocked, between, dense, tradeable, union_calendar
+from causalbars.operators.panel import own_clock, band_blocked, between, dense, tradeable, union_calendar
 from causalbars.plans.oracle import sql
 from causalbars.sources import tables
 
@@ -172,13 +172,13 @@ def _(spark, d):
 
 @query("prev_close_gap", sql("SELECT symbol, date, lag(close) OVER w AS prev_close, round(open / lag(close) OVER w - 1, 6) AS gap FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)"))
 def _(spark, d):
-    b = Inputs(spark, d).bars.withColumn("prev_close", F.lag("close").over(OWN))
+    b = Inputs(spark, d).bars.withColumn("prev_close", F.lag("close").over(own_clock()))
     return b.select("symbol", "date", "prev_close", r(F.col("open") / F.col("prev_close") - 1).alias("gap"))
 
 
 @query("circuit_blocked", sql("SELECT symbol, count(*) FILTER (open / prev_close - 1 >= 0.5 - 0.002) AS buys_blocked, count(*) FILTER (open / prev_close - 1 <= -(0.5 - 0.002)) AS sells_blocked FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS prev_close FROM bars) GROUP BY symbol"))
 def _(spark, d):
-    b = Inputs(spark, d).bars.withColumn("prev_close", F.lag("close").over(OWN))
+    b = Inputs(spark, d).bars.withColumn("prev_close", F.lag("close").over(own_clock()))
     blocked = lambda side: F.count_if(band_blocked(F.col("open"), F.col("prev_close"), side, 0.5, 0.002))
     return b.groupBy("symbol").agg(blocked("BUY").alias("buys_blocked"), blocked("SELL").alias("sells_blocked"))
 
@@ -564,7 +564,7 @@ pk AS (SELECT bs.test_year, bs.config_id, bs.sh AS train_sharpe, yr.grown AS tes
 def _flat(spark, d):
     i = Inputs(spark, d)
     p = indicators.signal_panel(i.bars.filter("cast(substr(symbol, 2) AS int) < 12"), i.calendar, 6, 30)
-    ret = F.when(F.lag("regime").over(OWN) == 1, F.coalesce(F.col("close") / F.lag("close").over(OWN) - 1, F.lit(0.0))).otherwise(0.0)
+    ret = F.when(F.lag("regime").over(own_clock()) == 1, F.coalesce(F.col("close") / F.lag("close").over(own_clock()) - 1, F.lit(0.0))).otherwise(0.0)
     flat = p.select(F.col("symbol").alias("config_id"), "date", ret.alias("ret"))
     order = flat.select("config_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("config_id")) - 1)
     return flat, order
