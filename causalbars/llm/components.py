@@ -1,4 +1,8 @@
-"""Connected components of links, distributed: local contraction, then large-star and small-star rounds."""
+"""Connected components of links, distributed: local contraction, then large-star and small-star rounds.
+
+Links are counted, and tasks contract ``LINKS`` of them each to a forest of stars. If one task was enough the forest is
+the answer; else rounds of large and small stars over the (now few) links follow until nothing changes.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,10 @@ from pyspark.sql import functions as F
 from causalbars.llm import common
 
 
+#: Links that a task contracts at a time; its memory is in proportion.
+LINKS = 500_000
+
+
 def _contract(batches):
     """A task's links as a forest of stars: each node with the least node it reaches by them."""
     import pyarrow as pa
@@ -33,9 +41,11 @@ def _contract(batches):
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(node, component) of ``links(u, v)``, both strings: each linked node with the least node it can reach."""
-    edges = links.filter("u <> v").select("u", "v").repartition("u").mapInArrow(_contract, "u string, v string")
-    edges = common.written(spark, edges.distinct(), "links")
-    while True:
+    plain = common.written(spark, links.filter("u <> v").select("u", "v").distinct(), "links")
+    tasks = -(-plain.count() // LINKS) or 1
+    spread = plain.coalesce(1) if tasks == 1 else plain.repartition(tasks, "u")
+    edges = common.written(spark, spread.mapInArrow(_contract, "u string, v string"), "links")
+    while tasks > 1:
         # Large star: each node's larger neighbours move to its least neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

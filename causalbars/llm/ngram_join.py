@@ -250,48 +250,44 @@ def _prefixes(heavy, threshold: int):
 # --- 4. T-occurrence search
 
 
-def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.0085) -> list[tuple[int, int]]:
-    """(record, overlap) of records that stand in at least ``t`` of the sorted ``lists``.
+def merged(lists: list[np.ndarray]) -> np.ndarray:
+    """Sorted lists merged into one: a heap gives the two shortest runs, whose merger goes back, until one is left."""
+    heap = [(len(x), i, x) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    at = len(heap)
+    while len(heap) > 1:
+        n, _, x = heapq.heappop(heap)
+        m, _, y = heap[0]
+        heapq.heapreplace(heap, (n + m, at, np.sort(np.concatenate([x, y]), kind="stable")))
+        at += 1
+    return heap[0][2] if heap else np.empty(0, np.int64)
+
+
+def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.0085) -> tuple[np.ndarray, np.ndarray]:
+    """(records, overlaps) of records that stand in at least ``t`` of the sorted ``lists``.
 
-    The ``long`` longest lists are set aside: a record needs ``t - long`` of the others, which are merged by a heap that
-    skips ahead, and is then looked up in the long lists by binary search.
+    The ``long`` longest lists are set aside: a record needs ``t - long`` of the others, which a heap merges, and is
+    then looked up in the long lists by binary search for as long as it can still reach ``t``.
     """
+    none = np.empty(0, np.int64)
     if t <= 0 or len(lists) < t:
-        return []
+        return none, none
     lists = sorted(lists, key=len)
     long = min(t - 1, int(t / (mu * np.log2(max(len(lists[-1]), 2)) + 1)))
-    short, far = lists[: len(lists) - long], lists[len(lists) - long :]
-    need, at = t - long, [0] * len(short)
-    heap = [(int(x[0]), i) for i, x in enumerate(short) if len(x)]
-    heapq.heapify(heap)
-    out = []
-    while len(heap) >= need:
-        record, popped = heap[0][0], []
-        while heap and heap[0][0] == record:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= need:
-            count = len(popped)
-            for j, x in enumerate(far):
-                if count + len(far) - j < t:
-                    break
-                p = int(np.searchsorted(x, record))
-                count += p < len(x) and int(x[p]) == record
-            if count >= t:
-                out.append((record, count))
-            for i in popped:
-                at[i] += 1
-        else:  # skip: no record before the need-th least head can have enough
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            head = heap[0][0]
-            for i in popped:
-                at[i] += int(np.searchsorted(short[i][at[i] :], head))
-        for i in popped:
-            if at[i] < len(short[i]):
-                heapq.heappush(heap, (int(short[i][at[i]]), i))
-    return out
+    run = merged(lists[: len(lists) - long])
+    starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else none
+    records, counts = run[starts], np.diff(np.concatenate([starts, [len(run)]]))
+    likely = counts >= t - long
+    records, counts = records[likely], counts[likely]
+    for j, x in enumerate(lists[len(lists) - long :]):
+        if not len(records):
+            break
+        at = np.minimum(np.searchsorted(x, records), len(x) - 1)
+        counts = counts + (x[at] == records)
+        if j % 16 == 0:
+            likely = counts + (long - 1 - j) >= t
+            records, counts = records[likely], counts[likely]
+    return records[counts >= t], counts[counts >= t]
 
 
 def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[str, str, np.ndarray]], threshold: int = THRESHOLD) -> list[tuple[str, str]]:
@@ -311,7 +307,7 @@ def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[st
         lists = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] for x in (owner[i:j] for i, j in zip(a[b > a], b[b > a], strict=True))]
         lists = [x for x in lists if len(x)]
         reached = set()
-        for record, overlap in divide_skip(lists, required(n, -(-threshold * n // 100), threshold)):
+        for record, overlap in zip(*(x.tolist() for x in divide_skip(lists, required(n, -(-threshold * n // 100), threshold))), strict=True):
             other, theirs, _ = index[record]
             if theirs != comp and theirs not in reached and overlap >= required(n, int(sizes[record]), threshold):
                 reached.add(theirs)
