@@ -31,7 +31,7 @@ def lines(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
     general = F.when(F.col("line").rlike(FIELD), F.regexp_replace("line", FIELD_TOKEN, WILD)).otherwise(F.col("line"))
-    rows = rows.select("doc_id", "text_hash", "at", F.split(F.trim(F.regexp_replace(general, r"^\s+|\s+$", "")), r"\s+").alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
+    rows = rows.select("doc_id", "text_hash", "at", F.regexp_extract_all(general, F.lit(r"\S+"), F.lit(0)).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
     return rows.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "key": F.xxhash64("tokens")})
 
 
@@ -76,20 +76,20 @@ def _mine(similar: float):
     return run
 
 
-def recurring(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, least: int = LEAST) -> DataFrame:
-    """(leaf, key) of the distinct lines whose template occurs in at least ``least`` documents.
+def recurring(spark: SparkSession, docs: DataFrame, keyed: DataFrame, similar: float = SIMILAR, least: int = LEAST) -> DataFrame:
+    """(leaf, key) of the distinct lines whose template occurs in at least ``least`` documents. ``keyed``: the lines of
+    ``docs`` without their tokens.
 
     Lines are counted by their hashes first. Only leaves whose lines together could make a recurring template are
     read again with their texts and mined, in the order of the lines' numbers and then of their texts, so reruns agree.
     """
-    counts = common.written(spark, lines(docs).groupBy("leaf", "key").agg(F.count("*").alias("n")), "line-counts")
+    counts = common.written(spark, keyed.groupBy("leaf", "key").agg(F.count("*").alias("n")), "line-counts")
     able = common.written(spark, counts.groupBy("leaf").agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select("leaf"), "line-leaves")
     able = F.broadcast(able) if able.count() <= common.BROADCAST_ROWS else able
-    again = lines(docs).join(able, "leaf", "left_semi")
-    texts = again.groupBy("leaf", "key").agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
+    texts = lines(docs).join(able, "leaf", "left_semi").groupBy("leaf", "key").agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
     ordered = texts.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens")
     mined = common.written(spark, ordered.mapInArrow(_mine(similar), "leaf long, key long, template int"), "line-mined")
-    where = again.select("leaf", "key", "doc_id", "text_hash").join(mined, ["leaf", "key"]).select("leaf", "template", "doc_id", "text_hash").distinct()
+    where = keyed.join(mined, ["leaf", "key"]).select("leaf", "template", "doc_id", "text_hash").distinct()
     often = where.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least)
     return mined.join(often, ["leaf", "template"]).select("leaf", "key")
 
@@ -100,9 +100,10 @@ def dedup(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, least:
     Documents are told apart by id and text: equal rows count as one document and each loses the same lines. Lines of
     fewer than ``LEAST_TOKENS`` tokens stay, as do blank ones. Null text: nothing to drop, text null.
     """
-    bad = common.written(spark, recurring(spark, docs, similar, least), "line-recurring")
+    keyed = common.written(spark, lines(docs).drop("tokens"), "line-keys")
+    bad = common.written(spark, recurring(spark, docs, keyed, similar, least), "line-recurring")
     bad = F.broadcast(bad) if bad.count() <= common.BROADCAST_ROWS else bad
-    dropped = lines(docs).join(bad, ["leaf", "key"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop_at"))
+    dropped = keyed.join(bad, ["leaf", "key"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop_at"))
     own = F.col("text").cast("string")
     kept = F.array_join(F.filter(F.split(own, "\n"), lambda x, i: ~F.array_contains("drop_at", i)), "\n")
     joined = common.by_key(docs.select("doc_id", "text"), dropped, "left")
