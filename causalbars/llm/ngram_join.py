@@ -10,7 +10,8 @@ The join finds the components of linked documents; copies and families of near c
    the bucket's first, which gives links, and stars: each class with its nearest verified centre.
 3. Two classes that link share a shingle of their prefixes (the rarest first), so stars of unlinked components that
    share one are candidates. Centres further apart than the threshold and both radii allow are dropped (the Jaccard
-   distance obeys the triangle inequality). Stars that remain form clusters.
+   distance obeys the triangle inequality): first by their sizes and by parity sketches, which bound the distance from
+   below, while a shingle's list is read, then by their sets. Stars that remain form clusters.
 4. In each cluster all classes outside its largest component query the cluster's inverted lists by DivideSkip: the
    short lists are merged by a heap, the long ones are probed by binary search, and classes of the required overlap
    link. Large clusters are searched in cells of bounded size (blocks of the index by blocks of queries).
@@ -218,14 +219,87 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 # --- 3. candidates
 
 
-def _frequent(batches):
-    """Shingles that several classes of a task hold, with their number; less frequent ones are not needed."""
+def _counts(batches):
+    """Shingles with the number of a task's classes that hold them, some millions of shingles at a time."""
+    import pyarrow as pa
+
+    held = []
+
+    def flush():
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        for lo in range(0, len(tokens), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[lo : lo + (1 << 16)].view(np.int64)), pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["token", "c"])
+
+    for batch in batches:
+        held += [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
+        if sum(map(len, held)) >= SEGMENT:
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
+
+
+def _sketches(batches):
+    """Parities of a set's hashes over 64 to 1024 cells, as many as the set calls for."""
     import pyarrow as pa
 
     for batch in batches:
-        tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist())]), return_counts=True)
-        often = counts >= 4
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often], pa.int64())], ["token", "c"])
+        out = []
+        for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            cells = min(max(1 << int(n - 1).bit_length(), 64), 1024)
+            parity = np.bincount((np.frombuffer(data, np.uint64) >> np.uint64(20)).astype(np.int64) & cells - 1, minlength=cells) & 1
+            out.append(np.packbits(parity.astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["star", "n", "sketch"])
+
+
+def apart(n: np.ndarray, m: np.ndarray, sketches: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Least Jaccard distances of sets of n and m, row by column, that sizes and parities allow.
+
+    Cells whose parities differ hold an odd number of elements of one set alone, so the sets differ in as many at least.
+    """
+    words = min(sketches.shape[1], others.shape[1])
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(len(x), -1, words), axis=1)  # noqa: E731  parities of merged cells
+    differ = np.bitwise_count(fold(sketches)[:, None, :] ^ fold(others)[None, :, :]).sum(axis=2, dtype=np.int64)
+    differ = np.maximum(differ, np.abs(n[:, None] - m[None, :]))
+    total = n[:, None] + m[None, :]
+    return 2 * differ / (total + differ)
+
+
+def _candidates(threshold: int, block: int = 512):
+    """Pairs of stars of different components in a shingle's list that may be near enough; lists come one by one."""
+
+    def pairs(rows):
+        by: dict[int, list] = {}
+        for star, comp, n, r, sketch in rows:
+            by.setdefault(len(sketch), []).append((star, comp, n, r, sketch))
+        parts = []
+        for width, own in by.items():
+            for lo in range(0, len(own), block):
+                x = own[lo : lo + block]
+                parts.append(([p[0] for p in x], np.array([p[1] for p in x]), np.array([p[2] for p in x]), np.array([p[3] for p in x]), np.frombuffer(b"".join(p[4] for p in x), np.uint64).reshape(-1, width // 8)))
+        for i, (stars, comps, n, r, sk) in enumerate(parts):
+            for others, comps2, n2, r2, sk2 in parts[: i + 1]:
+                near = (apart(n, n2, sk, sk2) <= 1 - threshold / 100 + r[:, None] + r2[None, :] + 1e-9) & (comps[:, None] != comps2[None, :])
+                for a, b in np.argwhere(near).tolist():
+                    yield (stars[a], others[b]) if stars[a] < others[b] else (others[b], stars[a])
+
+    def run(batches):
+        import pyarrow as pa
+
+        token, rows, found = None, [], set()
+        for batch in batches:
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != token:
+                    found.update(pairs(rows))
+                    token, rows = t, []
+                rows.append(row)
+            if len(found) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], ["u", "v"])
+                found = set()
+        found.update(pairs(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["u", "v"])
+
+    return run
 
 
 def _prefixes(heavy, threshold: int):
@@ -338,18 +412,19 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     members = sets.select("sig").join(best, "sig", "left").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     members = common.written(spark, members.select("sig", F.coalesce("centre", "sig").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "sig").alias("comp")), "join-members")
 
-    often = sets.select("tokens").mapInArrow(_frequent, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = sorted((r.token & (1 << 64) - 1, r.c) for r in often.orderBy(F.desc("c"), "token").limit(HEAVY).collect())
+    counted = sets.select("tokens").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2")
+    top = sorted((r.token & (1 << 64) - 1, r.c) for r in counted.orderBy(F.desc("c"), "token").limit(HEAVY).collect())
     heavy = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.int64)))
     listed = members.join(sets, "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(heavy, threshold), "token long, star string, comp string").distinct()
-    mixed = common.written(spark, listed, "join-lists")
-    several = mixed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
-    mixed = common.written(spark, mixed.join(several, "token", "left_semi"), "join-mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    stars = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.star") < F.col("y.star")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.star").alias("u"), F.col("y.star").alias("v")).distinct()
+    listed = common.written(spark, listed, "join-lists")
+    several = listed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
+    centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(_sketches, "star string, n long, sketch binary")
+    centres = centres.join(members.groupBy("star").agg(F.max("d").alias("r")), "star")
+    mixed = listed.join(several, "token", "left_semi").join(centres, "star").select("token", "star", "comp", "n", "r", "sketch")
+    stars = mixed.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(threshold), "u string, v string").distinct()
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
-    apart = overlaps(stars, sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
-    close = apart.filter(f"1 - overlap / (nu + nv - overlap) <= {1 - threshold / 100} + ru + rv + 1e-9").select("u", "v")
+    far = overlaps(common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
+    close = far.filter(f"1 - overlap / (nu + nv - overlap) <= {1 - threshold / 100} + ru + rv + 1e-9").select("u", "v")
     clusters = components(spark, common.written(spark, close, "join-close"))
 
     inside = common.written(spark, members.join(clusters.select(F.col("node").alias("star"), F.col("component").alias("cluster")), "star").select("cluster", "sig", "comp"), "join-clusters")
