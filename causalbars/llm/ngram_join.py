@@ -239,6 +239,32 @@ def _counts(batches):
         yield from flush()
 
 
+def _mixed(batches):
+    """Of rows in the order of their shingles, the distinct ones of lists that hold several components."""
+    import pyarrow as pa
+
+    token, rows, out = None, {}, []
+
+    def close():
+        if len({comp for _, comp in rows}) > 1:
+            out.extend((token, star, comp) for star, comp in rows)
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["token", "star", "comp"])
+
+    for batch in batches:
+        for t, star, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if t != token:
+                close()
+                token, rows = t, {}
+            rows[star, comp] = None
+        if len(out) >= 10_000:
+            yield batch_of(out)
+            out.clear()
+    close()
+    yield batch_of(out)
+
+
 def _sketches(batches):
     """Parities of a set's hashes over 64 to 1024 cells, as many as the set calls for."""
     import pyarrow as pa
@@ -415,12 +441,12 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     counted = sets.select("tokens").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2")
     top = sorted((r.token & (1 << 64) - 1, r.c) for r in counted.orderBy(F.desc("c"), "token").limit(HEAVY).collect())
     heavy = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.int64)))
-    listed = members.join(sets, "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(heavy, threshold), "token long, star string, comp string").distinct()
+    listed = members.join(sets, "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(heavy, threshold), "token long, star string, comp string")
+    listed = listed.repartition("token").sortWithinPartitions("token").mapInArrow(_mixed, "token long, star string, comp string")
     listed = common.written(spark, listed, "join-lists")
-    several = listed.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
     centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(_sketches, "star string, n long, sketch binary")
     centres = centres.join(members.groupBy("star").agg(F.max("d").alias("r")), "star")
-    mixed = listed.join(several, "token", "left_semi").join(centres, "star").select("token", "star", "comp", "n", "r", "sketch")
+    mixed = listed.join(centres, "star").select("token", "star", "comp", "n", "r", "sketch")
     stars = mixed.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(threshold), "u string, v string").distinct()
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
     far = overlaps(common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
