@@ -561,38 +561,54 @@ bs AS (SELECT * FROM (SELECT tn.*, sh, row_number() OVER (PARTITION BY test_year
 pk AS (SELECT bs.test_year, bs.config_id, bs.sh AS train_sharpe, yr.grown AS test_return FROM bs JOIN yr ON yr.config_id = bs.config_id AND yr.y = bs.test_year)"""
 
 
-def _flat(spark, d):
+#: The same over every symbol; ``FLAT`` itself keeps the twelve symbols (ids below 12) of the older queries.
+WHOLE = FLAT.replace(" WHERE CAST(substr(symbol, 2) AS INT) < 12", "")
+
+
+def _flat(spark, d, own="cast(substr(symbol, 2) AS int) < 12"):
     i = Inputs(spark, d)
-    p = indicators.signal_panel(i.bars.filter("cast(substr(symbol, 2) AS int) < 12"), i.calendar, 6, 30)
+    p = indicators.signal_panel(i.bars.filter(own), i.calendar, 6, 30)
     ret = F.when(F.lag("regime").over(own_clock()) == 1, F.coalesce(F.col("close") / F.lag("close").over(own_clock()) - 1, F.lit(0.0))).otherwise(0.0)
     flat = p.select(F.col("symbol").alias("config_id"), "date", ret.alias("ret"))
     order = flat.select("config_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("config_id")) - 1)
     return flat, order
 
 
-@query("walk_forward_picks", sql("SELECT test_year, config_id, round(train_sharpe, 6) AS train_sharpe, round(test_return, 6) AS test_return FROM pk", FLAT))
-def _(spark, d):
-    flat, order = _flat(spark, d)
+def _whole(spark, d):
+    return _flat(spark, d, "true")
+
+
+def on_both(name: str, select: str, *more: str):
+    """Registers ``name`` on the symbols of ``FLAT`` and ``name``_all on every symbol."""
+
+    def add(f):
+        query(name, sql(select, FLAT, *more))(lambda spark, d: f(spark, d, *_flat(spark, d)))
+        query(f"{name}_all", sql(select, WHOLE, *more))(lambda spark, d: f(spark, d, *_whole(spark, d)))
+        return f
+
+    return add
+
+
+@on_both("walk_forward_picks", "SELECT test_year, config_id, round(train_sharpe, 6) AS train_sharpe, round(test_return, 6) AS test_return FROM pk")
+def _(spark, d, flat, order):
     return sweep.walk_forward(flat, order, least_rows=100).select("test_year", "config_id", r("train_sharpe").alias("train_sharpe"), r("test_return").alias("test_return"))
 
 
-@query("oos_curve", sql("SELECT fl.date, fl.config_id, round(product(1 + ret) OVER (ORDER BY fl.date ROWS UNBOUNDED PRECEDING), 6) AS growth FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)", FLAT))
-def _(spark, d):
-    flat, order = _flat(spark, d)
+@on_both("oos_curve", "SELECT fl.date, fl.config_id, round(product(1 + ret) OVER (ORDER BY fl.date ROWS UNBOUNDED PRECEDING), 6) AS growth FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)")
+def _(spark, d, flat, order):
     return sweep.out_of_sample(flat, sweep.walk_forward(flat, order, least_rows=100)).select("date", "config_id", r(F.col("equity") / 1e6).alias("growth"))
 
 
 _RANKED = "rg AS (SELECT config_id, coalesce(avg(ret - 0.065 / 252) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe_rf, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe_raw, product(1 + ret) - 1 AS grown FROM fl GROUP BY config_id)"
 
 
-@query("grid_sharpe_rank", sql("SELECT config_id, round(sharpe_rf, 6) AS sharpe_rf, round(sharpe_raw, 6) AS sharpe_raw, row_number() OVER (ORDER BY round(sharpe_rf, 9) DESC, config_id) AS rank_rf, row_number() OVER (ORDER BY round(sharpe_raw, 9) DESC, config_id) AS rank_raw FROM rg", FLAT, _RANKED))
-def _(spark, d):
-    return sweep.ranked_grid(*_flat(spark, d)).select("config_id", r("sharpe_rf").alias("sharpe_rf"), r("sharpe_raw").alias("sharpe_raw"), "rank_rf", "rank_raw")
+@on_both("grid_sharpe_rank", "SELECT config_id, round(sharpe_rf, 6) AS sharpe_rf, round(sharpe_raw, 6) AS sharpe_raw, row_number() OVER (ORDER BY round(sharpe_rf, 9) DESC, config_id) AS rank_rf, row_number() OVER (ORDER BY round(sharpe_raw, 9) DESC, config_id) AS rank_raw FROM rg", _RANKED)
+def _(spark, d, flat, order):
+    return sweep.ranked_grid(flat, order).select("config_id", r("sharpe_rf").alias("sharpe_rf"), r("sharpe_raw").alias("sharpe_raw"), "rank_rf", "rank_raw")
 
 
-@query("hindsight_gap", sql("SELECT round((SELECT grown FROM rg JOIN po USING (config_id) ORDER BY round(sharpe_raw, 9) DESC, pos LIMIT 1), 6) AS hindsight, round((SELECT product(1 + ret) - 1 FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)), 6) AS walk_forward", FLAT, _RANKED))
-def _(spark, d):
-    flat, order = _flat(spark, d)
+@on_both("hindsight_gap", "SELECT round((SELECT grown FROM rg JOIN po USING (config_id) ORDER BY round(sharpe_raw, 9) DESC, pos LIMIT 1), 6) AS hindsight, round((SELECT product(1 + ret) - 1 FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)), 6) AS walk_forward", _RANKED)
+def _(spark, d, flat, order):
     best = sweep.ranked_grid(flat, order).filter("rank_raw = 1").select(r("grown").alias("hindsight"))
     oos = sweep.out_of_sample(flat, sweep.walk_forward(flat, order, least_rows=100)).agg(r(F.product(1 + F.col("ret")) - 1).alias("walk_forward"))
     return best.join(oos)
@@ -612,14 +628,31 @@ def _(spark, d):
     return selection_bias.pbo(found).select(r("pbo").alias("pbo"), "n_splits")
 
 
+#: All halves of twelve blocks over every symbol; a block's sums are added up, as its rows would be read 924 times.
+_SPLIT_ALL_SQL = """bk AS (SELECT date, CASE WHEN i < (n % 12) * (n // 12 + 1) THEN i // (n // 12 + 1) ELSE n % 12 + (i - (n % 12) * (n // 12 + 1)) // (n // 12) END AS block FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fl))),
+ct AS (SELECT *, ret - avg(ret) OVER (PARTITION BY config_id) AS x, avg(ret) OVER (PARTITION BY config_id) AS m FROM fl),
+bsum AS (SELECT block, config_id, any_value(m) AS m, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM ct JOIN bk USING (date) GROUP BY 1, 2),
+hv AS (SELECT m AS split FROM range(4096) t(m) WHERE bit_count(m::INT) = 6),
+sd AS (SELECT split, b AS block, (split >> b) & 1 = 1 AS train FROM hv, range(12) t(b)),
+sm AS (SELECT split, train, config_id, round(coalesce((s / n + m) / nullif(sqrt(greatest((q - s * s / n) / (n - 1), 0)), 0), 0) * sqrt(252), 9) AS sharpe FROM (SELECT split, train, config_id, any_value(m) AS m, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM bsum JOIN sd USING (block) GROUP BY 1, 2, 3)),
+wn AS (SELECT split, config_id AS winner FROM (SELECT sm.*, row_number() OVER (PARTITION BY split ORDER BY sharpe DESC, config_id) AS k FROM sm WHERE train) WHERE k = 1),
+rk AS (SELECT s.split, avg(CASE WHEN s.sharpe < t.sharpe THEN 1.0 ELSE 0 END) AS oos_rank FROM sm s JOIN wn ON wn.split = s.split JOIN sm t ON t.split = s.split AND t.config_id = wn.winner AND NOT t.train WHERE NOT s.train GROUP BY s.split)"""
+
+
+@query("pbo_cscv_all", sql("SELECT round(avg(CASE WHEN oos_rank < 0.5 THEN 1.0 ELSE 0 END), 6) AS pbo, count(*) AS n_splits FROM rk", WHOLE, _SPLIT_ALL_SQL))
+def _(spark, d):
+    found = selection_bias.cscv(spark, *_whole(spark, d), blocks=12, halves=selection_bias.splits(12, None))
+    return selection_bias.pbo(found).select(r("pbo").alias("pbo"), "n_splits")
+
+
 @query("selection_bias_report")
 def _(spark, d):
-    return selection_bias.report(spark, *_flat(spark, d), effective_trials=10)
+    return selection_bias.report(spark, *_whole(spark, d))
 
 
 @query("spa_test")
 def _(spark, d):
-    flat, _ = _flat(spark, d)
+    flat, _ = _whole(spark, d)
     levels = tables.order_benchmark(spark, d).withColumn("one", F.lit(1))
     return selection_bias.spa(spark, flat, indicators.returns(levels, "one", "date", "level"), reps=200)
 
