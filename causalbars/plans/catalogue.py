@@ -669,6 +669,20 @@ def _(spark, d):
     return own.groupBy("y").pivot("m", ["m1", "m4", "m7", "m10"]).agg(r(F.product(1 + F.col("ret")) - 1))
 
 
+_MONTHS = tuple(range(1, 13))
+
+
+@query("heat_map_all", sql("SELECT config_id, CAST(year(date) AS INT) AS y, " + ", ".join(f"round(product(1 + ret) FILTER (month(date) = {m}) - 1, 6) AS m{m}" for m in _MONTHS) + " FROM fl GROUP BY 1, 2", WHOLE))
+def _(spark, d):
+    own = _whole(spark, d)[0].select("config_id", F.year("date").alias("y"), F.concat(F.lit("m"), F.month("date").cast("string")).alias("m"), "ret")
+    return own.groupBy("config_id", "y").pivot("m", [f"m{m}" for m in _MONTHS]).agg(r(F.product(1 + F.col("ret")) - 1))
+
+
+@query("grid_heat_map")
+def _(spark, d):
+    return sweep.heat_map(_summary(spark, d, sweep.grid(BASE)))
+
+
 @query("downsampled_curve", sql("SELECT date, level FROM (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM bench) WHERE i IN (SELECT CAST(floor(k * ((SELECT count(*) FROM bench) - 1) / 49) AS BIGINT) FROM range(50) t(k))"))
 def _(spark, d):
     rows = tables.order_benchmark(spark, d).withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
