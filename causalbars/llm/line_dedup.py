@@ -3,7 +3,8 @@
 Each line is parsed into a template: a fixed-depth tree is entered by the number of its tokens and then by its leading
 tokens, and tokens that look variable (those with digits, at signs or slashes) are generalised to a wildcard before. In the leaf the line joins the template that agrees with it in the most places, if that share reaches
 ``similar``; places that differ become wildcards. Templates that occur in at least ``least`` documents are recurring,
-and their lines are dropped from all documents.
+and their lines are dropped from all documents. Lines of a few tokens are compared by their exact tokens: nothing in them
+is generalised, a leaf holds one such text, and it recurs from ``LEAST_SHORT`` documents on.
 
 Leaves are independent: a leaf's key comes from SQL functions, lines are counted by hashes, so that copies of a line are
 one row whatever their number, and only leaves that may hold a recurring template are mined. A leaf's distinct lines
@@ -18,20 +19,23 @@ from pyspark.sql import functions as F
 from causalbars.llm import common
 
 #: Depth of leading tokens, the share of equal places for one template, the documents that make a template recur, and
-#: the least tokens of a line that may be dropped: shorter ones are often ordinary.
-DEPTH, SIMILAR, LEAST, LEAST_TOKENS = 3, 0.7, 3, 4
+#: the least tokens of a line that may be generalised: shorter ones (never longer than ``DEPTH``, so that a leaf is one
+#: text) are often ordinary, and need ``LEAST_SHORT`` documents.
+DEPTH, SIMILAR, LEAST, LEAST_TOKENS, LEAST_SHORT = 3, 0.7, 3, 4, 7
 WILD = "<*>"
 #: Variable fields: tokens that hold a digit, an at sign or a slash.
 FIELD, FIELD_TOKEN = "[0-9@/]", r"[^\s0-9@/]*+[0-9@/]\S*"
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, at, tokens, leaf, key) of each line of enough tokens. Leaf and key are hashes: of the token
-    count with the leading tokens, and of all generalised tokens."""
+    """(doc_id, text_hash, at, tokens, n_tokens, leaf, key) of each line that has tokens. Leaf and key are hashes: of the
+    token count with the leading tokens, and of all tokens, generalised in lines of at least ``LEAST_TOKENS``."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
     general = F.when(F.col("line").rlike(FIELD), F.regexp_replace("line", FIELD_TOKEN, WILD)).otherwise(F.col("line"))
-    rows = rows.select("doc_id", "text_hash", "at", F.regexp_extract_all(general, F.lit(r"\S+"), F.lit(0)).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
+    pieces = lambda line: F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0))
+    rows = rows.select("doc_id", "text_hash", "at", "line", pieces(general).alias("tokens")).withColumn("n_tokens", F.size("tokens")).filter("n_tokens > 0")
+    rows = rows.withColumn("tokens", F.when((F.col("n_tokens") < LEAST_TOKENS) & F.col("line").rlike(FIELD), pieces(F.col("line"))).otherwise(F.col("tokens"))).drop("line")
     return rows.withColumns({"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "key": F.xxhash64("tokens")})
 
 
@@ -76,29 +80,34 @@ def _mine(similar: float):
     return run
 
 
+def _enough(least: int):
+    """Documents that make a template of a line of ``n_tokens`` recur."""
+    return F.when(F.col("n_tokens") < LEAST_TOKENS, max(least, LEAST_SHORT)).otherwise(least)
+
+
 def recurring(spark: SparkSession, docs: DataFrame, keyed: DataFrame, similar: float = SIMILAR, least: int = LEAST) -> DataFrame:
-    """(leaf, key) of the distinct lines whose template occurs in at least ``least`` documents. ``keyed``: the lines of
+    """(leaf, key) of the distinct lines whose template occurs in enough documents. ``keyed``: the lines of
     ``docs`` without their tokens.
 
     Lines are counted by their hashes first. Only leaves whose lines together could make a recurring template are
     read again with their texts and mined, in the order of the lines' numbers and then of their texts, so reruns agree.
     """
-    counts = common.written(spark, keyed.groupBy("leaf", "key").agg(F.count("*").alias("n")), "line-counts")
-    able = common.written(spark, counts.groupBy("leaf").agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select("leaf"), "line-leaves")
+    counts = common.written(spark, keyed.groupBy("leaf", "n_tokens", "key").agg(F.count("*").alias("n")), "line-counts")
+    able = common.written(spark, counts.groupBy("leaf", "n_tokens").agg(F.sum("n").alias("total")).filter(F.col("total") >= _enough(least)).select("leaf"), "line-leaves")
     able = F.broadcast(able) if able.count() <= common.BROADCAST_ROWS else able
     texts = lines(docs).join(able, "leaf", "left_semi").groupBy("leaf", "key").agg(F.min("tokens").alias("tokens"), F.count("*").alias("n"))
     ordered = texts.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "tokens")
     mined = common.written(spark, ordered.mapInArrow(_mine(similar), "leaf long, key long, template int"), "line-mined")
-    where = keyed.join(mined, ["leaf", "key"]).select("leaf", "template", "doc_id", "text_hash").distinct()
-    often = where.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least)
+    where = keyed.join(mined, ["leaf", "key"]).select("leaf", "n_tokens", "template", "doc_id", "text_hash").distinct()
+    often = where.groupBy("leaf", "n_tokens", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= _enough(least))
     return mined.join(often, ["leaf", "template"]).select("leaf", "key")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, similar: float = SIMILAR, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_dropped and text without the lines of recurring templates.
 
-    Documents are told apart by id and text: equal rows count as one document and each loses the same lines. Lines of
-    fewer than ``LEAST_TOKENS`` tokens stay, as do blank ones. Null text: nothing to drop, text null.
+    Documents are told apart by id and text: equal rows count as one document and each loses the same lines. Blank
+    lines stay. Null text: nothing to drop, text null.
     """
     keyed = common.written(spark, lines(docs).drop("tokens"), "line-keys")
     bad = common.written(spark, recurring(spark, docs, keyed, similar, least), "line-recurring")

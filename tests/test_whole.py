@@ -50,3 +50,12 @@ def test_monthly_map_has_all_months_of_every_symbol(spark):
     rows = catalogue.queries()["heat_map_all"](spark, DATA).collect()
     got = {(x.config_id, x.y, m): x[f"m{m}"] for x in rows for m in range(1, 13) if x[f"m{m}"] is not None}
     assert got == pytest.approx({k: v - 1 for k, v in grown.items()}, abs=2e-6)
+
+
+def test_short_lines_recur_by_their_exact_text(spark):
+    from causalbars.llm import line_dedup
+
+    rows = [(i, f"All rights reserved.\nPage {i}\nno {'abcdefgh'[i]} here\n" + ("Read more\n" if i < 6 else "")) for i in range(8)]
+    got = line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == {i: t.replace("All rights reserved.\n", "") for i, t in rows}
+    assert all(x.n_dropped == 1 for x in got)
