@@ -59,3 +59,13 @@ def test_short_lines_recur_by_their_exact_text(spark):
     got = line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.text for x in got} == {i: t.replace("All rights reserved.\n", "") for i, t in rows}
     assert all(x.n_dropped == 1 for x in got)
+
+
+def test_all_notices_of_a_block_are_found():
+    from causalbars.llm import licenses
+
+    scanner, names = licenses.Scanner(licenses.TEMPLATES), lambda found: [x[0] for x in found]
+    both = "Released under the MIT License. Licensed under CC BY-NC 4.0."
+    assert names(scanner.scan(both)) == ["MIT", "CC-BY-NC-4.0"]
+    many = " ".join([both, "Licensed under the Apache License, Version 2.0."] * 100)
+    assert len(licenses.blocks(many)) == 1 and names(scanner.scan(many)) == ["MIT", "CC-BY-NC-4.0", "Apache-2.0"] * 100
