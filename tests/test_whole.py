@@ -69,3 +69,27 @@ def test_all_notices_of_a_block_are_found():
     assert names(scanner.scan(both)) == ["MIT", "CC-BY-NC-4.0"]
     many = " ".join([both, "Licensed under the Apache License, Version 2.0."] * 100)
     assert len(licenses.blocks(many)) == 1 and names(scanner.scan(many)) == ["MIT", "CC-BY-NC-4.0", "Apache-2.0"] * 100
+
+
+def test_wordings_of_a_license_may_differ_but_for_its_name():
+    from causalbars.llm import licenses
+
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = {
+        "Distributed under the MIT License": ["MIT"],
+        "Released under MIT license": ["MIT"],
+        "licensed under Apache License 2.0": ["Apache-2.0"],
+        gnu.format("", 3): ["GPL-3.0"],
+        gnu.format("", 2): ["GPL-2.0"],
+        gnu.format("Lesser ", 3): ["LGPL-3.0"],
+        gnu.format("Affero ", 3): [],
+        "Licensed under the Apache License, Version 1.1. Needs 2.0": [],
+        "Licensed under CC BY NC 4.0.": [],
+        "Licensed under CC BY-SA 3.0.": [],
+        "the MIT License is short": [],
+        "my driving license expired": [],
+    }
+    assert {t: [x[0] for x in scanner.scan(t)] for t in want} == want
+    own = licenses.Scanner({"own": "Use of this program is granted under house rules 7.", "also": [("Granted under rule", ("rule",))]})
+    assert [x[0] for x in own.scan("license: use of this program is granted under house rules 7.")] == ["own"]
