@@ -20,8 +20,9 @@ from causalbars.llm import common
 
 #: Depth of leading tokens, the share of equal places for one template, the documents that make a template recur, and
 #: the least tokens of a line that may be generalised: shorter ones (never longer than ``DEPTH``, so that a leaf is one
-#: text) are often ordinary, and need ``LEAST_SHORT`` documents.
+#: text) are often ordinary, and need ``LEAST_SHORT`` documents. Lines of more than ``LONG_TOKENS`` need ``LEAST_LONG``.
 DEPTH, SIMILAR, LEAST, LEAST_TOKENS, LEAST_SHORT = 3, 0.7, 3, 4, 7
+LONG_TOKENS, LEAST_LONG = 50, 2
 WILD = "<*>"
 #: Variable fields: tokens that hold a digit, an at sign or a slash.
 FIELD, FIELD_TOKEN = "[0-9@/]", r"[^\s0-9@/]*+[0-9@/]\S*"
@@ -82,7 +83,7 @@ def _mine(similar: float):
 
 def _enough(least: int):
     """Documents that make a template of a line of ``n_tokens`` recur."""
-    return F.when(F.col("n_tokens") < LEAST_TOKENS, max(least, LEAST_SHORT)).otherwise(least)
+    return F.when(F.col("n_tokens") < LEAST_TOKENS, max(least, LEAST_SHORT)).when(F.col("n_tokens") > LONG_TOKENS, min(least, LEAST_LONG)).otherwise(least)
 
 
 def recurring(spark: SparkSession, docs: DataFrame, keyed: DataFrame, similar: float = SIMILAR, least: int = LEAST) -> DataFrame:

@@ -93,3 +93,12 @@ def test_wordings_of_a_license_may_differ_but_for_its_name():
     assert {t: [x[0] for x in scanner.scan(t)] for t in want} == want
     own = licenses.Scanner({"own": "Use of this program is granted under house rules 7.", "also": [("Granted under rule", ("rule",))]})
     assert [x[0] for x in own.scan("license: use of this program is granted under house rules 7.")] == ["own"]
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    from causalbars.llm import line_dedup
+
+    line = lambda n: " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+    rows = [(1, f"one own line of text\n{line(51)}"), (2, f"{line(51)}\nanother line of some text"), (3, line(50)), (4, line(50))]
+    got = {x.doc_id: x.text for x in line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "one own line of text", 2: "another line of some text", 3: line(50), 4: line(50)}
