@@ -1,7 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in one of several layouts. Its nested field paths, without those that no layout knows, are
-hashed to a fingerprint, which selects a declarative mapping from the record to canonical turns of role and text. Turns
+hashed to a fingerprint, which selects a declarative mapping from the record to canonical turns of role and text; without
+one of its own, a record takes the layout with the most of its paths, and a system field leads as a turn of its own.
+Records of no layout, and those with known fields that their layout does not read, are returned beside the text. Turns
 are rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control strings within roles and texts are broken by a
 backslash after their first character and backslashes are doubled, so that reading a rendered text back is exact.
 
@@ -64,13 +66,30 @@ def paths(record, at: str = "") -> set[str]:
 
 
 @functools.lru_cache(maxsize=4096)
-def _mapping(found: frozenset):
-    return BY_FINGERPRINT.get(_hash(found & KNOWN))
+def _mapping(found: frozenset) -> tuple[dict | None, bool]:
+    """(layout, whether it reads all known fields): that of the fingerprint, else the one of the most paths among those
+    found, the first of equals, with a system turn in front if there is the field."""
+    known = found & KNOWN
+    if (how := BY_FINGERPRINT.get(_hash(known))) is not None:
+        return how, True
+    able = [x for x in LAYOUTS if known.issuperset(x["paths"])]
+    if not able:
+        return None, False
+    how = max(able, key=lambda x: len(x["paths"]))
+    read = set(how["paths"])
+    if "system" in known - read:
+        how, read = how | {"turns": [("system", ["system"]), *how.get("turns", [])]}, read | {"system"}
+    return how, known == read
+
+
+def unread(record: dict) -> bool:
+    """Whether the record has no layout, or known fields that its layout does not read."""
+    return not _mapping(frozenset(paths(record)))[1]
 
 
 def turns(record: dict) -> list[tuple[str, str]] | None:
-    """Canonical turns of a record; None if no layout has its fingerprint."""
-    if (how := _mapping(frozenset(paths(record)))) is None:
+    """Canonical turns of a record; None if no layout has its paths."""
+    if (how := _mapping(frozenset(paths(record)))[0]) is None:
         return None
     said = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     out = [(role, "\n\n".join(t for f in fields if (t := said(record.get(f))))) for role, fields in how.get("turns", [])]
@@ -103,13 +122,13 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 def _format(batches):
     import pyarrow as pa
 
-    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.list_(pa.int64()))), ("unknown", pa.int64())])
-    rows, conv, piece, text, chars, loss, unknown, open_ = [], None, 0, [], 0, [], 0, False
+    schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.list_(pa.int64()))), ("unknown", pa.int64()), ("unread", pa.list_(pa.string()))])
+    rows, conv, piece, text, chars, loss, unknown, left, left_chars, open_ = [], None, 0, [], 0, [], 0, [], 0, False
 
     def flush():
-        nonlocal text, chars, loss, unknown, piece
-        rows.append({"conv_id": conv, "piece": piece, "formatted": "".join(text), "loss": loss, "unknown": unknown})
-        text, chars, loss, unknown, piece = [], 0, [], 0, piece + 1
+        nonlocal text, chars, loss, unknown, left, left_chars, piece
+        rows.append({"conv_id": conv, "piece": piece, "formatted": "".join(text), "loss": loss, "unknown": unknown, "unread": left})
+        text, chars, loss, unknown, left, left_chars, piece = [], 0, [], 0, [], 0, piece + 1
 
     for batch in batches:
         for own, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -117,15 +136,18 @@ def _format(batches):
                 if open_:
                     flush()
                 conv, piece, open_ = own, 0, True
-            found = turns(json.loads(record))
+            found = turns(value := json.loads(record))
             unknown += found is None
+            if unread(value):
+                left.append(record)
+                left_chars += len(record)
             for role, said in found or []:
                 whole, lo, hi = render(role, said)
                 if role == LOSS_ROLE:
                     loss.append([chars + lo, chars + hi])
                 text.append(whole)
                 chars += len(whole)
-            if chars >= PIECE_CHARS:
+            if chars + left_chars >= PIECE_CHARS:
                 flush()
             if len(rows) >= 64:
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -138,14 +160,15 @@ def _format(batches):
 
 def format_records(records: DataFrame) -> DataFrame:
     """``records(conv_id, place, record)``, record a JSON object, to rendered pieces: conv_id, piece, formatted, loss
-    (ranges of code points that training scores: the assistant's texts) and unknown (records of no known layout).
+    (ranges of code points that training scores: the assistant's texts), unknown (records of no known layout) and unread (as
+they came, the records of no layout and those with known fields that their layout does not read).
 
     Records of a conversation come in the order of ``place``, nulls first, equal places by the record itself; repeated
     records stay. A null conv_id is a conversation of its own. Null roles and texts are empty. Fields that no layout
     knows are ignored.
     """
     ordered = records.select(F.col("conv_id").cast("long").alias("conv_id"), "place", "record").repartition("conv_id").sortWithinPartitions("conv_id", "place", "record")
-    return ordered.select("conv_id", "record").mapInArrow(_format, "conv_id long, piece long, formatted string, loss array<array<long>>, unknown long")
+    return ordered.select("conv_id", "record").mapInArrow(_format, "conv_id long, piece long, formatted string, loss array<array<long>>, unknown long, unread array<string>")
 
 
 def _digest(batches):

@@ -102,3 +102,19 @@ def test_long_lines_recur_from_two_documents(spark):
     rows = [(1, f"one own line of text\n{line(51)}"), (2, f"{line(51)}\nanother line of some text"), (3, line(50)), (4, line(50))]
     got = {x.doc_id: x.text for x in line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "one own line of text", 2: "another line of some text", 3: line(50), 4: line(50)}
+
+
+def test_records_near_a_layout_are_read_and_others_returned(spark):
+    import json
+
+    from causalbars.llm import chat
+
+    told = [("system", "s"), ("user", "q"), ("assistant", "a")]
+    near = [{"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"system": "s", "prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a", "system": "s"}]
+    assert all(chat.turns(x) == told and not chat.unread(x) for x in near)
+    both = {"role": "user", "text": "t", "content": "c"}
+    assert chat.turns(both) == [("user", "t")] and chat.unread(both)
+    records = [json.dumps(x) for x in [*near, both, {"else": "kept"}]]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(records)], "conv_id long, place long, record string")
+    got = chat.format_records(df).first()
+    assert got.unread == records[3:] and got.unknown == 1 and len(chat.parse(got.formatted)) == 10
