@@ -654,7 +654,7 @@ def _(spark, d):
 def _(spark, d):
     flat, _ = _whole(spark, d)
     levels = tables.order_benchmark(spark, d).withColumn("one", F.lit(1))
-    return selection_bias.spa(spark, flat, indicators.returns(levels, "one", "date", "level"), reps=200)
+    return selection_bias.spa(spark, flat, indicators.returns(levels, "one", "date", "level"), reps=1000)
 
 
 @query("cagr_trades_corr", sql("SELECT round(corr(g, ln(n)), 6) AS corr FROM (SELECT symbol, count(*) AS n, avg(gross_ret) AS g FROM trd GROUP BY symbol)", LIFE))

@@ -118,3 +118,9 @@ def test_records_near_a_layout_are_read_and_others_returned(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(records)], "conv_id long, place long, record string")
     got = chat.format_records(df).first()
     assert got.unread == records[3:] and got.unknown == 1 and len(chat.parse(got.formatted)) == 10
+
+
+@needs_data
+def test_registered_spa_has_the_reference_repetitions(spark, monkeypatch):
+    monkeypatch.setattr(catalogue.selection_bias, "spa", lambda *a, reps=1000, **k: reps)
+    assert catalogue.queries()["spa_test"](spark, DATA) == 1000
