@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,19 +40,64 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-#: Rows of (id, hash) that may be broadcast: about 32 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, as ``row_bytes`` counts them.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.simpleString(), f"`{f.name}`"
+        size = size + F.expr(f"coalesce(octet_length({c}), 0) + 16" if kind in ("string", "binary") else f"8 * coalesce(size({c}), 0) + 24" if kind.startswith("array") else "16")
+    return size
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of scalars and arrays of numbers, to be broadcast if its counted bytes are few."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames holds."""
+    held = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with ``keys(doc_id, text_hash, ...)`` by id (null is null's equal) and xxhash64 of the text.
+    """``docs`` joined with ``keys(doc_id, text_hash, ...)`` by id (null is null's equal) and xxhash64 of the text: its
+    columns and those of ``keys`` after the hash, which must have other names.
 
-    Keys are counted first: few are broadcast, so that no text moves, and more are joined by a shuffle.
+    The keys' bytes are counted first: few are broadcast, so that no text moves, and more are joined by a shuffle.
     """
-    keys = written(docs.sparkSession, keys.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "keys")
-    small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    own_id, own_hash = fresh("_id", docs, keys), fresh("_hash", docs, keys)
+    keys = small(written(docs.sparkSession, keys.withColumnsRenamed({"doc_id": own_id, "text_hash": own_hash}), "keys"))
     text_hash = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash")), how)
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_hash == F.col(own_hash)), how).drop(own_id, own_hash)
+
+
+def lean(run):
+    """A function for ``mapInArrow`` or ``applyInArrow`` that gives its task's memory back to the system when it ends:
+    workers are kept between tasks and stages, whose peaks would otherwise add up."""
+
+    @functools.wraps(run)
+    def lean_run(*args):
+        yield from run(*args)
+        _released()
+
+    return lean_run
+
+
+def _released() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -115,9 +115,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -
 
 def mixed(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with each row as often as the mix takes it. Equal rows get equal parts of their copies, rounded."""
-    taken = mix(spark, docs, weights, cap).groupBy("doc_id", "text_hash").agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    name, place = common.fresh("_copies", docs), common.fresh("_copy", docs)
+    taken = mix(spark, docs, weights, cap).groupBy("doc_id", "text_hash").agg(F.round(F.avg("copies")).cast("int").alias(name))
     columns = [f"`{c}`" for c in docs.columns]
-    return common.by_key(docs, taken.filter("_copies > 0"), "inner").selectExpr(*columns, "explode(sequence(1, _copies)) AS _copy").drop("_copy")
+    return common.by_key(docs, taken.filter(f"{name} > 0"), "inner").selectExpr(*columns, f"explode(sequence(1, {name})) AS {place}").drop(place)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def extract(docs: DataFrame) -> DataFrame:
     """``docs`` with its last column, the text, replaced by x, the text's statistics."""
     *rest, _ = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.mapInArrow(_extract, f"{schema}, x array<double>")
+    return docs.mapInArrow(common.lean(_extract), f"{schema}, x array<double>")
 
 
 def _moments(batches):
@@ -90,7 +90,7 @@ def _moments(batches):
 
 def fit(labelled: DataFrame, pooled: float = POOLED, ridge: float = RIDGE) -> dict:
     """Model of ``labelled(label, x)``. A class without rows leaves only the prior: then all documents score alike."""
-    sums = labelled.mapInArrow(_moments, "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
+    sums = labelled.mapInArrow(common.lean(_moments), "label int, at int, v double").groupBy("label", "at").agg(F.sum("v").alias("v")).collect()
     d = FEATURES + 1
     moments = {label: np.zeros(d * d) for label in (0, 1)}
     for r in sums:
@@ -140,8 +140,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
     An id with several labels has the least of them; null ids and other labels than 0 and 1 are none.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    known = common.written(spark, known, "quality-labels")
-    known = F.broadcast(known) if known.count() <= common.BROADCAST_ROWS else known
+    known = common.small(common.written(spark, known, "quality-labels"))
     return fit(extract(docs.filter(f"NOT ({HELD_OUT})").join(known, "doc_id").select("label", F.col("text").cast("string").alias("text"))))
 
 
@@ -149,7 +148,7 @@ def classify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out and score. Null text: as empty; a null id is not held out unless
     crc32 of the empty text says so. Without labelled rows of either class all scores are the smoothed share of label 1."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(functools.partial(_score, model), "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(common.lean(functools.partial(_score, model)), "doc_id long, held_out boolean, score double")
 
 
 def _filter(model: dict, at: int, keep: float, batches):
@@ -162,7 +161,7 @@ def _filter(model: dict, at: int, keep: float, batches):
 
 def keep(docs: DataFrame, model: dict, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
-    return docs.mapInArrow(functools.partial(_filter, model, docs.columns.index("text"), least), docs.schema)
+    return docs.mapInArrow(common.lean(functools.partial(_filter, model, docs.columns.index("text"), least)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
