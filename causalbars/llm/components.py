@@ -44,7 +44,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     plain = common.written(spark, links.filter("u <> v").select("u", "v").distinct(), "links")
     tasks = -(-plain.count() // LINKS) or 1
     spread = plain.coalesce(1) if tasks == 1 else plain.repartition(tasks, "u")
-    edges = common.written(spark, spread.mapInArrow(_contract, "u string, v string"), "links")
+    edges = common.written(spark, spread.mapInArrow(common.lean(_contract), "u string, v string"), "links")
     while tasks > 1:
         # Large star: each node's larger neighbours move to its least neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -16,8 +16,8 @@ The join finds the components of linked documents; copies and families of near c
    short lists are merged by a heap, the long ones are probed by binary search, and classes of the required overlap
    link. Large clusters are searched in cells of bounded size (blocks of the index by blocks of queries).
 
-Everything between the steps is a written table; only the most frequent shingles (at most ``HEAVY``, used for their
-order alone) reach the driver.
+Everything between the steps is a written table; only a table of ``CELLS`` bytes, used for the shingles' order alone,
+passes the driver.
 """
 
 from __future__ import annotations
@@ -33,9 +33,12 @@ from causalbars.llm.components import components
 from causalbars.llm.shingles import mix, shingle_sets, signature
 
 SHINGLE, THRESHOLD = 5, 75
-#: Shingles that a task gathers before it sends them, min-hashes for gluing, frequent shingles that are ordered last,
-#: and classes in a block of a cluster.
-SEGMENT, GLUE, HEAVY, BLOCK = 1 << 21, 6, 1 << 16, 2000
+#: Shingles that a task gathers before it sends them, shingles in a bucket (about), bytes of text for each of which a
+#: shingle is reckoned, min-hashes for gluing, and cells of the table of shingles' frequencies, a byte each.
+SEGMENT, BUCKET, TEXT_BYTES, GLUE, CELLS = 1 << 20, 1 << 21, 6, 6, 1 << 22
+#: Shingles in a block of a cluster, stars in a block of a shingle's list, pairs that a task remembers so as not to
+#: repeat them, and pairs of one class that a task compares.
+CELL, LIST, SEEN, PAIRS = 1 << 20, 256, 400_000, 512
 NOBODY = np.uint32(0xFFFFFFFF)
 
 
@@ -75,7 +78,7 @@ def _send(k: int, buckets: int):
                     low = (tokens[lo:hi] >> np.uint64(16)).astype(np.uint32)  # below the bits that tell buckets apart
                     rows.append({"bucket": b, "segment": me, "tokens": low.tobytes(), "owners": alone[lo:hi].astype(np.uint32 if len(sets) > 65534 else np.uint16).tobytes()})
             for doc_id, text_hash, n, sig, owner in docs:
-                rows.append({"bucket": me % buckets, "segment": me, "owner": owner, "doc_id": doc_id, "text_hash": text_hash, "n": n, "sig": sig, "shared": int(shared[owner])})
+                rows.append({"bucket": (me + owner) % buckets, "segment": me, "owner": owner, "doc_id": doc_id, "text_hash": text_hash, "n": n, "sig": sig, "shared": int(shared[owner])})
             for lo in range(0, len(rows), 1000):
                 yield pa.RecordBatch.from_pylist(rows[lo : lo + 1000], schema)
             docs, sets, first, gathered, segment = [], [], {}, 0, segment + 1
@@ -93,42 +96,51 @@ def _send(k: int, buckets: int):
         if docs:
             yield from flush()
 
-    return run
+    return common.lean(run)
 
 
 DOC = "segment long, owner int, doc_id long, text_hash long, n long, sig string, shared long, answer binary"
 
 
+def _answered(parts: list):
+    """For each (segment, tokens, owners) of a bucket: the segment's owners with how many of their shingles occur
+    elsewhere in it."""
+    tokens = np.concatenate([t for _, t, _ in parts]).astype(np.uint64) << np.uint64(32)
+    tokens |= np.arange(len(tokens), dtype=np.uint64)
+    tokens.sort()
+    same = np.diff(tokens >> np.uint64(32)) == 0
+    often = np.empty(len(tokens), bool)
+    often[(tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    del tokens, same
+    at = 0
+    for segment, t, owners in parts:
+        mine = owners[often[at : at + len(t)]].astype(np.int64)
+        at += len(t)
+        mine = mine[mine != np.iinfo(owners.dtype).max]
+        who, count = np.unique(mine, return_counts=True)
+        yield {"segment": segment, "answer": np.stack([who, count]).astype(np.uint32).tobytes()}
+
+
 def _answer(batches):
-    """Passes documents on; for each segment's part of a bucket, counts its owners' shingles that occur elsewhere."""
+    """Passes documents on; for each segment's part of a bucket, counts its owners' shingles that occur elsewhere. Rows
+    come in the order of their buckets, and one bucket is held at a time."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     schema = pa.schema([("segment", pa.int64()), ("owner", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("shared", pa.int64()), ("answer", pa.binary())])
-    held: dict[int, list] = {}
+    bucket, parts = None, []
     for batch in batches:
         docs = batch.filter(pc.is_valid(batch.column("sig")))
         if docs.num_rows:
             yield pa.RecordBatch.from_arrays([*(docs.column(n) for n in schema.names[:-1]), pa.nulls(docs.num_rows, pa.binary())], schema=schema)
         for r in batch.filter(pc.is_valid(batch.column("tokens"))).select(["bucket", "segment", "tokens", "owners"]).to_pylist():
-            tokens = np.frombuffer(r["tokens"], np.uint32)
-            owners = np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(tokens) else np.uint32)
-            held.setdefault(r["bucket"], []).append((r["segment"], tokens, owners))
-    for bucket in list(held):
-        parts = held.pop(bucket)
-        tokens = np.concatenate([t for _, t, _ in parts])
-        order = np.argsort(tokens, kind="stable")
-        same = tokens[order][1:] == tokens[order][:-1]
-        often = np.empty(len(tokens), bool)
-        often[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        at, rows = 0, []
-        for segment, t, owners in parts:
-            mine = owners[often[at : at + len(t)]].astype(np.int64)
-            at += len(t)
-            mine = mine[mine != np.iinfo(owners.dtype).max]
-            who, count = np.unique(mine, return_counts=True)
-            rows.append({"segment": segment, "answer": np.stack([who, count]).astype(np.uint32).tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, schema)
+            if r["bucket"] != bucket and parts:
+                yield pa.RecordBatch.from_pylist(list(_answered(parts)), schema)
+                parts = []
+            bucket, tokens = r["bucket"], np.frombuffer(r["tokens"], np.uint32)
+            parts.append((r["segment"], tokens, np.frombuffer(r["owners"], np.uint16 if len(r["owners"]) == 2 * len(tokens) else np.uint32)))
+    if parts:
+        yield pa.RecordBatch.from_pylist(list(_answered(parts)), schema)
 
 
 def _decide(threshold: int):
@@ -152,14 +164,18 @@ def _decide(threshold: int):
                     rows.append({"doc_id": r["doc_id"], "text_hash": r["text_hash"], "n": r["n"], "sig": r["sig"], "active": r["n"] > 0 and 100 * shared >= threshold * r["n"]})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.string()), ("active", pa.bool_())]))
 
-    return run
+    return common.lean(run)
 
 
 def filtered(spark: SparkSession, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """(doc_id, text_hash, n, sig, active) of each document; only active ones can have a partner with another set."""
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """(doc_id, text_hash, n, sig, active) of each document; only active ones can have a partner with another set.
+
+    Buckets are as many as the texts' bytes call for, so that each holds about ``BUCKET`` shingles.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, -(-int(size) // (TEXT_BYTES * BUCKET)))
     sent = docs.mapInArrow(_send(k, buckets), "bucket int, segment long, owner int, doc_id long, text_hash long, n long, sig string, shared long, tokens binary, owners binary")
-    answered = common.written(spark, sent.repartition("bucket").mapInArrow(_answer, DOC), "join-answers")
+    answered = common.written(spark, sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(_answer), DOC), "join-answers")
     ordered = answered.repartition("segment").sortWithinPartitions("segment", F.col("answer").isNull())
     return common.written(spark, ordered.mapInArrow(_decide(threshold), "doc_id long, text_hash long, n long, sig string, active boolean"), "join-documents")
 
@@ -180,7 +196,7 @@ def _class_sets(k: int):
                     rows.append({"sig": sig, "n": len(own), "tokens": own.tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("sig", pa.string()), ("n", pa.int64()), ("tokens", pa.binary())]))
 
-    return run
+    return common.lean(run)
 
 
 def _glue_keys(batches):
@@ -198,22 +214,39 @@ def _glue_keys(batches):
 
 
 def _overlaps(batches):
-    """The overlap of two sorted sets, by binary search of the smaller in the larger."""
+    """Overlaps of sorted sets, by binary search of the smaller in the larger. Rows come in the order of v, with v's own
+    set, which has no u, before the others."""
     import pyarrow as pa
 
+    centre, name = None, None
     for batch in batches:
-        out = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+        us, vs, ns, ms, out = [], [], [], [], []
+        for v, u, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            own = np.frombuffer(data, np.uint64)
+            if u is None:
+                centre, name = own.copy(), v
+                continue
+            assert v == name
+            x, y = (own, centre) if len(own) <= len(centre) else (centre, own)
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            us.append(u)
+            vs.append(v)
+            ns.append(len(own))
+            ms.append(len(centre))
             out.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), batch.column("nu"), batch.column("nv"), pa.array(out, pa.int64())], ["u", "v", "nu", "nv", "overlap"])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(ns, pa.int64()), pa.array(ms, pa.int64()), pa.array(out, pa.int64())], ["u", "v", "nu", "nv", "overlap"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, nu, nv, overlap) of ``pairs(u, v)`` of classes."""
-    both = pairs.join(sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("b")), "v")
-    return both.select("u", "v", "nu", "nv", "a", "b").mapInArrow(_overlaps, "u string, v string, nu long, nv long, overlap long")
+    """(u, v, nu, nv, overlap) of ``pairs(u, v)``, distinct pairs of classes, a written table.
+
+    The pairs of one v go to as many tasks as their number calls for, and v's set is sent once to each."""
+    parts = pairs.groupBy("v").agg(F.expr(f"1 + count(*) div {PAIRS}").alias("parts"))
+    asked = pairs.join(parts, "v").select("v", F.expr("pmod(xxhash64(u), parts)").alias("part"), "u")
+    asked = asked.join(sets.select(F.col("sig").alias("u"), "tokens"), "u").select("v", "part", "u", "tokens")
+    centres = parts.join(sets.select(F.col("sig").alias("v"), "tokens"), "v").select("v", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(None).cast("string").alias("u"), "tokens")
+    both = centres.unionByName(asked).repartition("v", "part").sortWithinPartitions("v", "part", F.col("u").asc_nulls_first())
+    return both.mapInArrow(common.lean(_overlaps), "u string, v string, nu long, nv long, overlap long")
 
 
 # --- 3. candidates
@@ -239,32 +272,6 @@ def _counts(batches):
         yield from flush()
 
 
-def _mixed(batches):
-    """Of rows in the order of their shingles, the distinct ones of lists that hold several components."""
-    import pyarrow as pa
-
-    token, rows, out = None, {}, []
-
-    def close():
-        if len({comp for _, comp in rows}) > 1:
-            out.extend((token, star, comp) for star, comp in rows)
-
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())], ["token", "star", "comp"])
-
-    for batch in batches:
-        for t, star, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if t != token:
-                close()
-                token, rows = t, {}
-            rows[star, comp] = None
-        if len(out) >= 10_000:
-            yield batch_of(out)
-            out.clear()
-    close()
-    yield batch_of(out)
-
-
 def _sketches(batches):
     """Parities of a set's hashes over 64 to 1024 cells, as many as the set calls for."""
     import pyarrow as pa
@@ -291,60 +298,80 @@ def apart(n: np.ndarray, m: np.ndarray, sketches: np.ndarray, others: np.ndarray
     return 2 * differ / (total + differ)
 
 
-def _candidates(threshold: int, block: int = 512):
-    """Pairs of stars of different components in a shingle's list that may be near enough; lists come one by one."""
+def _candidates(threshold: int):
+    """Pairs of stars of different components that may be near enough, of two blocks of a shingle's list or, where lo is
+    hi, of one. Blocks come one by one, and hold about ``LIST`` stars."""
 
-    def pairs(rows):
+    names, numbers, seen = [], {}, set()  # the stars and pairs that a task has met; forgotten when there are many
+
+    def arrays(rows):
         by: dict[int, list] = {}
-        for star, comp, n, r, sketch in rows:
-            by.setdefault(len(sketch), []).append((star, comp, n, r, sketch))
-        parts = []
+        for row in rows:
+            by.setdefault(len(row[4]), []).append(row)
         for width, own in by.items():
-            for lo in range(0, len(own), block):
-                x = own[lo : lo + block]
-                parts.append(([p[0] for p in x], np.array([p[1] for p in x]), np.array([p[2] for p in x]), np.array([p[3] for p in x]), np.frombuffer(b"".join(p[4] for p in x), np.uint64).reshape(-1, width // 8)))
-        for i, (stars, comps, n, r, sk) in enumerate(parts):
-            for others, comps2, n2, r2, sk2 in parts[: i + 1]:
+            for lo in range(0, len(own), LIST):
+                x = own[lo : lo + LIST]
+                for p in x:
+                    if numbers.setdefault(p[0], len(names)) == len(names):
+                        names.append(p[0])
+                yield np.array([numbers[p[0]] for p in x]), np.array([p[1] for p in x]), np.array([p[2] for p in x]), np.array([p[3] for p in x]), np.frombuffer(b"".join(p[4] for p in x), np.uint64).reshape(-1, width // 8)
+
+    def pairs(sides, alone):
+        """New pairs, as numbers of their stars."""
+        ones = list(arrays(sides[0]))
+        twos = ones if alone else list(arrays(sides[1]))
+        for i, (stars, comps, n, r, sk) in enumerate(ones):
+            for others, comps2, n2, r2, sk2 in twos[: i + 1] if alone else twos:
                 near = (apart(n, n2, sk, sk2) <= 1 - threshold / 100 + r[:, None] + r2[None, :] + 1e-9) & (comps[:, None] != comps2[None, :])
-                for a, b in np.argwhere(near).tolist():
-                    yield (stars[a], others[b]) if stars[a] < others[b] else (others[b], stars[a])
+                a, b = np.nonzero(near)
+                found = np.unique(np.minimum(stars[a], others[b]) << 32 | np.maximum(stars[a], others[b]))
+                new = [x for x in found.tolist() if x not in seen]
+                seen.update(new)
+                yield from new
 
-    def run(batches):
+    def batch_of(found):
         import pyarrow as pa
 
-        token, rows, found = None, [], set()
-        for batch in batches:
-            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if t != token:
-                    found.update(pairs(rows))
-                    token, rows = t, []
-                rows.append(row)
-            if len(found) >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], ["u", "v"])
-                found = set()
-        found.update(pairs(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["u", "v"])
-
-    return run
+        both = [sorted((names[x >> 32], names[x & 0xFFFFFFFF])) for x in found]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())], ["u", "v"])
 
-
-def _prefixes(heavy, threshold: int):
-    """Prefixes in order of rarity: shingles that are not known to be frequent, by hash, then those from rare to frequent."""
+    def run(batches):
+        key, sides, found = None, ([], []), []
+        for batch in batches:
+            for token, lo, hi, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, lo, hi) != key:
+                    if key:
+                        found.extend(pairs(sides, key[1] == key[2]))
+                    key, sides = (token, lo, hi), ([], [])
+                    if len(found) >= 50_000 or len(seen) >= SEEN:
+                        yield batch_of(found)
+                        found.clear()
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                        names.clear()
+                        numbers.clear()
+                sides[side].append(row)
+        if key:
+            found.extend(pairs(sides, key[1] == key[2]))
+        yield batch_of(found)
+
+    return common.lean(run)
+
+
+def _prefixes(levels, threshold: int):
+    """Prefixes in order of rarity: shingles by the level of their cell, then by hash."""
 
     def run(batches):
         import pyarrow as pa
 
-        known, rank = heavy.value
         for batch in batches:
             for star, comp, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = np.frombuffer(data, np.uint64)
-                at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
-                order = np.where(known[at] == tokens, rank[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
-                n = len(tokens)
+                order, n = levels.value[((tokens >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int64)], len(tokens)
                 prefix = tokens[np.lexsort((tokens, order))[: n - -(-threshold * n // 100) + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array([star] * len(prefix), pa.string()), pa.array([comp] * len(prefix), pa.string())], ["token", "star", "comp"])
 
-    return run
+    return common.lean(run)
 
 
 # --- 4. T-occurrence search
@@ -416,50 +443,61 @@ def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[st
 
 
 def _search(threshold: int):
-    def run(_, cell):
-        import pandas as pd
+    def run(cell):
+        import pyarrow as pa
 
-        rows = [(s, c, np.frombuffer(t, np.uint64), q) for s, c, t, q in zip(cell["sig"], cell["comp"], cell["tokens"], cell["asks"], strict=True)]
+        rows = [(x, y, np.frombuffer(t, np.uint64), q) for x, y, t, q in zip(*(cell.column(n).to_pylist() for n in ("sig", "comp", "tokens", "asks")), strict=True)]
         found = search_cell([r[:3] for r in rows if not r[3]], [r[:3] for r in rows if r[3]], threshold)
-        return pd.DataFrame(found, columns=["u", "v"])
+        return pa.table([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], names=["u", "v"])
 
     return run
 
 
+def _levels(spark: SparkSession, sets: DataFrame) -> np.ndarray:
+    """By cell of a shingle's hash: the level (eight to a doubling) of its most frequent shingle, 0 for those of one or
+    two classes. All shingles are counted; however many there are, the table has ``CELLS`` bytes."""
+    counted = sets.select("tokens").mapInArrow(common.lean(_counts), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2")
+    cells = counted.groupBy(F.expr(f"cast(shiftrightunsigned(token, 20) & {CELLS - 1} AS int)").alias("cell")).agg(F.max(F.expr("cast(least(255, floor(8 * log2(c))) AS smallint)")).alias("level"))
+    found, levels = cells.toArrow(), np.zeros(CELLS, np.uint8)
+    levels[found.column("cell").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
 def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (u, v) between classes that join what the similarity joins, if not each pair."""
-    keys = common.written(spark, sets.select("sig", "tokens").mapInArrow(_glue_keys, "sig string, key long"), "join-keys")
+    keys = common.written(spark, sets.select("sig", "tokens").mapInArrow(common.lean(_glue_keys), "sig string, key long"), "join-keys")
     first = keys.groupBy("key").agg(F.min("sig").alias("v"), F.count("*").alias("c")).filter("c > 1")
-    pairs = keys.join(first, "key").filter("sig <> v").select(F.col("sig").alias("u"), "v").distinct()
+    pairs = common.written(spark, keys.join(first, "key").filter("sig <> v").select(F.col("sig").alias("u"), "v").distinct(), "join-pairs")
     near = overlaps(pairs, sets).filter(f"100 * overlap >= {threshold} * (nu + nv - overlap)")
     glued = common.written(spark, near.select("u", "v", (1 - F.col("overlap") / (F.col("nu") + F.col("nv") - F.col("overlap"))).alias("d")), "join-glued")
     comps = components(spark, glued)
     best = glued.groupBy("u").agg(F.min(F.struct("d", "v")).alias("best")).select(F.col("u").alias("sig"), F.col("best.v").alias("centre"), F.col("best.d").alias("d"))
-    members = sets.select("sig").join(best, "sig", "left").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
-    members = common.written(spark, members.select("sig", F.coalesce("centre", "sig").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "sig").alias("comp")), "join-members")
-
-    counted = sets.select("tokens").mapInArrow(_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter("c > 2")
-    top = sorted((r.token & (1 << 64) - 1, r.c) for r in counted.orderBy(F.desc("c"), "token").limit(HEAVY).collect())
-    heavy = spark.sparkContext.broadcast((np.array([t for t, _ in top], np.uint64), np.array([c for _, c in top], np.int64)))
-    listed = members.join(sets, "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(heavy, threshold), "token long, star string, comp string")
-    listed = listed.repartition("token").sortWithinPartitions("token").mapInArrow(_mixed, "token long, star string, comp string")
-    listed = common.written(spark, listed, "join-lists")
-    centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(_sketches, "star string, n long, sketch binary")
-    centres = centres.join(members.groupBy("star").agg(F.max("d").alias("r")), "star")
-    mixed = listed.join(centres, "star").select("token", "star", "comp", "n", "r", "sketch")
-    stars = mixed.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(threshold), "u string, v string").distinct()
+    members = sets.select("sig", "n").join(best, "sig", "left").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
+    members = common.written(spark, members.select("sig", "n", F.coalesce("centre", "sig").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "sig").alias("comp")), "join-members")
+
+    levels = spark.sparkContext.broadcast(_levels(spark, sets))
+    listed = members.join(sets.select("sig", "tokens"), "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(levels, threshold), "token long, star string, comp string")
+    # A shingle's list counts if it holds several components; the window spills, so a list may be of any length.
+    listed = listed.repartition("token").dropDuplicates(["token", "star", "comp"])
+    listed = listed.selectExpr("*", "min(comp) OVER (PARTITION BY token) AS least", "max(comp) OVER (PARTITION BY token) AS most", "count(*) OVER (PARTITION BY token) AS c")
+    listed = common.written(spark, listed.filter("least <> most").selectExpr("token", "star", "comp", f"1 + c div {LIST} AS parts", f"cast(pmod(xxhash64(star), 1 + c div {LIST}) AS int) AS part"), "join-lists")
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
+    centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(common.lean(_sketches), "star string, n long, sketch binary").join(radius, "star")
+    # Each block of a list meets itself and every other one; (lo, hi) names the meeting.
+    met = listed.join(centres, "star").withColumn("other", F.explode(F.expr("sequence(0, cast(parts AS int) - 1)")))
+    met = met.selectExpr("token", "least(part, other) AS lo", "greatest(part, other) AS hi", "cast(part > other AS int) AS side", "star", "comp", "n", "r", "sketch")
+    stars = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_candidates(threshold), "u string, v string").distinct()
     far = overlaps(common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
     close = far.filter(f"1 - overlap / (nu + nv - overlap) <= {1 - threshold / 100} + ru + rv + 1e-9").select("u", "v")
     clusters = components(spark, common.written(spark, close, "join-close"))
 
-    inside = common.written(spark, members.join(clusters.select(F.col("node").alias("star"), F.col("component").alias("cluster")), "star").select("cluster", "sig", "comp"), "join-clusters")
-    per = inside.groupBy("cluster", "comp").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"))
-    per = per.select("cluster", "size", F.col("top.comp").alias("largest"), F.expr(f"ceil(size / {BLOCK})").alias("blocks"), F.expr(f"greatest(1, ceil((size - top.c) / {BLOCK}))").alias("turns"))
-    placed = inside.join(per, "cluster").join(sets.select("sig", "tokens"), "sig")
+    inside = common.written(spark, members.join(clusters.select(F.col("node").alias("star"), F.col("component").alias("cluster")), "star").select("cluster", "sig", "n", "comp"), "join-clusters")
+    per = inside.groupBy("cluster", "comp").agg(F.sum("n").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"))
+    per = per.select("cluster", F.col("top.comp").alias("largest"), F.expr(f"1 + size div {CELL}").alias("blocks"), F.expr(f"1 + (size - top.c) div {CELL}").alias("turns"))
+    placed = inside.drop("n").join(per, "cluster").join(sets.select("sig", "tokens"), "sig")
     held = placed.select("cluster", F.expr("pmod(xxhash64(sig), blocks)").alias("block"), F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"), "sig", "comp", "tokens", F.lit(False).alias("asks"))
     asking = placed.filter("comp <> largest").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(sig, 1), turns)").alias("turn"), "sig", "comp", "tokens", F.lit(True).alias("asks"))
-    found = held.unionByName(asking).groupBy("cluster", "block", "turn").applyInPandas(_search(threshold), "u string, v string")
+    found = held.unionByName(asking).groupBy("cluster", "block", "turn").applyInArrow(_search(threshold), "u string, v string")
     return glued.select("u", "v").unionByName(found)
 
 
@@ -477,8 +515,7 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int
     classes = common.written(spark, rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.max("active").alias("active")), "join-classes")
     asked = classes.filter("active")
     # One document of each active class is read again; few enough ids are broadcast, else joined.
-    ids = asked.select(F.col("first").alias("id")).distinct()
-    ids = F.broadcast(ids) if asked.count() <= 1_000_000 else ids
+    ids = common.small(common.written(spark, asked.select(F.col("first").alias("id")).distinct(), "join-ids"))
     again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text").mapInArrow(_class_sets(k), "sig string, n long, tokens binary")
     sets = common.written(spark, again.join(asked.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "join-sets")
     comps = components(spark, common.written(spark, links(spark, sets, threshold), "join-links"))
@@ -500,7 +537,8 @@ def representatives(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, thre
     kept = common.by_key(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return kept
-    once = common.by_key(kept, repeated, "left_semi").withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    name = common.fresh("_hash", kept)
+    once = common.by_key(kept, repeated, "left_semi").withColumn(name, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", name]).drop(name)
     return common.by_key(kept, repeated, "left_anti").unionByName(once)
 
 
