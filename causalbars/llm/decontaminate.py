@@ -21,68 +21,83 @@ from causalbars.llm import common
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+RAW = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 #: Bytes of windows that one broadcast may hold.
 BLOCK_BYTES = 32 << 20
 
 
-def words(text: Column) -> Column:
-    """A-Z lower-cased, then the runs of characters that are ASCII letters, digits or beyond ASCII."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def raw_words(text: Column) -> Column:
+    """The runs of characters that are ASCII letters, digits or beyond ASCII, as they are written."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(RAW), F.lit(0))
+
+
+def lowered(word: Column) -> Column:
+    """A word with A-Z lower-cased; most words are in lower case already."""
+    return F.when(F.lower(word) == word, word).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(window, items): each distinct window with the ids, as strings, of the items that hold it."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter("item IS NOT NULL AND size(w) > 0")
+    """(wid, window, item): each item, as a string, with its distinct windows and their names. A window's words are
+    joined by spaces."""
+    own = benchmark.select(F.col("item_id").cast("string").alias("item"), F.transform(raw_words(F.col("text")), lowered).alias("w")).filter("item IS NOT NULL AND size(w) > 0")
     starts = own.withColumn("at", F.explode(F.expr(f"sequence(0, greatest(size(w) - {size}, 0))")))
-    return starts.select("item", F.expr(f"slice(w, at + 1, {size})").alias("window")).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return starts.select("item", F.array_join(F.expr(f"slice(w, at + 1, {size})"), " ").alias("window")).select(F.md5("window").alias("wid"), "window", "item").distinct()
 
 
 def _prefixed(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(token, place, window, items): each window that can occur, under its rarest word."""
-    vocabulary = windows.select(F.explode("window").alias("token")).distinct()
-    counts = docs.select(F.explode("w").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
-    places = windows.select("*", F.posexplode("window").alias("place", "token"))
-    rarest = places.join(F.broadcast(counts), "token", "left").groupBy("window", "items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("p"))
-    return rarest.filter("p.n > 0").select("p.token", "p.place", "window", "items")
+    """(token, place, wid, window, length): each window that can occur, under its rarest word, and its number of words."""
+    own = windows.select("*", F.split("window", " ").alias("w"))
+    vocabulary = own.select(F.explode("w").alias("token")).distinct()
+    # Outer, as the inner one makes the optimizer find all words twice, to test whether there are any.
+    seen = docs.select(F.explode_outer("w").alias("word")).select(lowered(F.col("word")).alias("token"))
+    counts = seen.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+    places = own.select("wid", "window", F.size("w").alias("length"), F.posexplode("w").alias("place", "token"))
+    rarest = places.join(F.broadcast(counts), "token", "left").groupBy("wid", "window", "length").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("p"))
+    return rarest.filter("p.n > 0").select("p.token", "p.place", "wid", "window", "length")
 
 
 def search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``documents``: doc_id, text_hash (xxhash64 of the text), n_words, hits (sorted, disjoint word ranges ``start``/``end`` that
     item windows cover) and items (sorted ids, as strings, of the items with occurring windows).
 
-    A null text has no words. Items without id or without words take no part; items that share an id count as one.
-    Repeated rows give a row each. Other columns are ignored.
+    A null text has no words; a text may be as long as a task's memory allows. Items without id or without words take no
+    part; items that share an id count as one. Repeated rows give a row each. Other columns of either table are ignored.
+    An empty table of documents gives no rows, an empty benchmark rows without hits.
     """
-    docs = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
-    windows = common.written(spark, item_windows(benchmark, size), "windows")
-    total = windows.agg(F.sum(F.expr("64 + aggregate(window, 0L, (a, x) -> a + octet_length(x) + 16) + aggregate(items, 0L, (a, x) -> a + octet_length(x) + 16)"))).first()[0] or 0
+    docs = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), raw_words(F.col("text")).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    held = common.written(spark, item_windows(benchmark, size), "windows")
+    windows = held.select("wid", "window").distinct()
+    total = windows.agg(F.sum(F.expr("200 + octet_length(window)"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
     found = []
     for block in range(blocks):
-        own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
+        own = windows.filter(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == block) if blocks > 1 else windows
         prefixed = common.written(spark, _prefixed(docs, own), "prefixes")
-        at = docs.select("row", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("at", "token"))
+        at = docs.select("row", "doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("at", "word"))
         match = (
-            (at["token"] == prefixed["token"])
+            (lowered(at["word"]) == prefixed["token"])
             & (F.col("at") >= F.col("place"))
-            & (F.col("at") - F.col("place") + F.size("window") <= F.col("n_words"))
-            & (F.expr("slice(w, at - place + 1, size(window))") == F.col("window"))
+            & (F.col("at") - F.col("place") + F.col("length") <= F.col("n_words"))
+            & (F.translate(F.array_join(F.expr("slice(w, at - place + 1, length)"), " "), UPPER, LOWER) == F.col("window"))
         )
         hits = at.join(F.broadcast(prefixed), match, "left")
         # The first word's row stays without a match too: each document must come through once at least.
-        hits = hits.filter("items IS NOT NULL OR at IS NULL OR at = 0").select("row", "doc_id", "text_hash", "n_words", "items", F.expr("IF(items IS NULL, NULL, struct(at - place AS start, at - place + size(window) AS end))").alias("hit"))
+        hits = hits.filter("wid IS NOT NULL OR at IS NULL OR at = 0").select("row", "doc_id", "text_hash", "n_words", "wid", F.expr("IF(wid IS NULL, NULL, struct(at - place AS start, at - place + length AS end))").alias("hit"))
         found.append(hits)
-    hits = reduce(DataFrame.unionByName, found)
-    per = hits.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = common.written(spark, reduce(DataFrame.unionByName, found), "hits")
+    per = hits.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    items = hits.filter("wid IS NOT NULL").select("row", "wid").distinct().join(held.select("wid", "item"), "wid").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     merged = """aggregate(hits, cast(array() as array<struct<start:int,end:int>>), (done, x) ->
         IF(size(done) > 0 AND element_at(done, -1).end >= x.start,
            concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start AS start, greatest(element_at(done, -1).end, x.end) AS end))),
            concat(done, array(struct(x.start AS start, x.end AS end)))))"""
-    return per.select("doc_id", "text_hash", "n_words", F.expr(merged).alias("hits"), "items")
+    return per.join(items, "row", "left").select("doc_id", "text_hash", "n_words", F.expr(merged).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """``documents`` without those in which a window of an item occurs."""
+    """``documents`` without those in which a window of an item occurs, null and empty texts among the rest, with all
+    their columns, whatever their names."""
     found = search(spark, documents, benchmark, size).filter("size(items) > 0").select("doc_id", "text_hash").distinct()
     return common.by_key(documents, found, "left_anti")
 
