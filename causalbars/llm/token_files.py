@@ -18,59 +18,134 @@ from pyspark.sql import functions as F
 
 from causalbars.llm import common
 
-#: Stands for a null id in ``part-k.docs``.
-NULL_ID = -(2**63)
-MANIFEST = "part int, n_docs long, n_tokens long"
-#: So many encoded pieces are remembered by a Python worker at most.
-REMEMBERED = 1_000_000
+MANIFEST = "part int, n_docs long, n_null long, n_tokens long"
+#: Bytes of encoded pieces that a Python worker remembers, pieces that are encoded at a time, and documents that are
+#: read back at a time.
+REMEMBERED, AT_A_TIME, READ_DOCS = 12 << 20, 4096, 16_384
+
+#: Descriptions of normalizers and pre-tokenizers that drop white space and never join across it. With
+#: them the ids of a text are the ids of its pieces between white space, in a row.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: A piece's stem, which ends in a letter, and the points after it, which are a piece of their own to ``_PIECES``.
+_CLOSED = r"(?s)^(?P<stem>[^<]*[A-Za-zÀ-ÖØ-öø-ÿ])(?P<points>[!-/:;=-@\[-`{-~]+)$"
+
+
+#: Pieces that ``_NORMALIZERS`` leave as they are and ``_PRE_TOKENIZERS`` do not split.
+_LETTERS = "^[a-zß-öø-ÿ]+$"
+
+
+def by_pieces(described: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, gives a text the ids of its pieces between ASCII white space."""
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+    return (
+        described["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS}
+        and described["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": _PRE_TOKENIZERS}
+        and described["model"]["type"] == "BPE"
+        and not any(described["model"].get(k) for k in ("dropout", "unk_token", "fuse_unk"))
+        and not any(described.get(k) for k in ("truncation", "padding", "post_processor"))
+        and all(plain.items() <= t.items() and t["content"].startswith("<") and not any(c.isspace() for c in t["content"]) for t in described["added_tokens"])
+    )
+
+
+def _gathered(flat, starts, sizes, at):
+    """The runs ``at`` of ``flat`` one after the other, and their sizes."""
+    import numpy as np
+
+    each = sizes[at]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    index = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts[at] - (ends - each)).astype(index), each) + np.arange(total, dtype=index)], each
 
 
 class PieceEncoder:
     """Encodes whole texts by pieces between ASCII white space, remembering the ids of recent pieces.
 
-    For tokenizers that drop white space and never join across it, the ids of a text are the ids of its pieces in a
-    row; ``exact`` tells whether a tokenizer is of that kind, and others encode each text in one go. Where it also
-    lower-cases and parts letters from what follows (``folds``), a piece is looked up by its lower-cased stem and its
-    closing points, so that fewer pieces are new. Pieces are split and told apart by Arrow, a batch at a time.
+    That holds for tokenizers of the kind that ``by_pieces`` knows by their description; others encode each text in one
+    go. A piece is looked up by its stem, of which ASCII ones are lower-cased, and its closing points, so that fewer
+    pieces are new; new stems of letters alone go to the model many at a time. Pieces are split, told apart and looked up by Arrow, a batch at a time. At most ``remembered`` bytes
+    are kept from one batch to the next: beyond, only what the last batch used.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED):
+        import json
         import os
 
+        import numpy as np
+        import pyarrow as pa
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known, self.stems = Tokenizer.from_file(path), dtype, {}, {}
+        self.tokenizer, self.dtype, self.remembered = Tokenizer.from_file(path), dtype, remembered
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        whole = lambda *texts: [i for t in texts for i in self.tokenizer.encode(t, add_special_tokens=False).ids]
-        self.exact = all(whole(a + s + b) == whole(a, b) for a, b in (("It's", "a 12x"), ("ée", "'s b,")) for s in " \t\n\r\x0b\x0c")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.folds = self.exact and all("<" in t for t in special) and all(whole(a + s) == whole(a.lower(), s) for a in ("IT'S", "Ünd", "éA", "12x") for s in (".", ",", "..,"))
+        self.exact = by_pieces(json.loads(self.tokenizer.to_str()))
+        if self.exact:
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.keys, self.flat, self.sizes = pa.array([], pa.large_string()), np.empty(0, dtype), np.empty(0, np.int32)
+
+    def _ids(self, texts: list[str], n_words: int = 0):
+        """(ids of all texts in a row, ids in each). The first ``n_words`` are of ``_LETTERS``."""
+        import itertools
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.many(texts, add_special_tokens=False)]
-
-    def _parts(self, piece: str) -> tuple[str, str]:
-        """A piece's stem, A-Z lower-cased, and the points after it."""
-        if not self.folds or "<" in piece:
-            return piece, ""
-        low = piece.lower() if piece.isascii() else piece
-        stem = low.rstrip(".,")
-        return (stem, low[len(stem) :]) if stem[-1:].isascii() and stem[-1:].isalpha() else (low, "")
-
-    def _lookup(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        if missing := [p for p in pieces if p not in self.known]:
-            parts = [self._parts(p) for p in missing]
-            if new := list({x for pair in parts for x in pair} - self.stems.keys()):
-                self.stems.update(zip(new, self._ids(new), strict=True))
-            self.known.update((p, self.stems[a] + self.stems[b]) for p, (a, b) in zip(missing, parts, strict=True))
-        return [self.known[p] for p in pieces]
+        flat, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int32)]
+        for lo in range(0, n_words, AT_A_TIME):
+            own = self.words.encode(" ".join(texts[lo : min(lo + AT_A_TIME, n_words)]), add_special_tokens=False)
+            flat.append(np.asarray(own.ids, self.dtype))
+            sizes.append(np.bincount(np.asarray(own.word_ids, np.int64)).astype(np.int32))
+        for lo in range(n_words, len(texts), AT_A_TIME):
+            own = [e.ids for e in self.many(texts[lo : lo + AT_A_TIME], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, own), np.int32, len(own)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(own), self.dtype, int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _lookup(self, kinds):
+        """(ids, starts, sizes, places): the run of each of the distinct ``kinds`` stands at its place."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        place = np.array(pc.index_in(kinds, value_set=self.keys).fill_null(-1))
+        missing = np.flatnonzero(place < 0)
+        words = np.asarray(pc.match_substring_regex(kinds.take(pa.array(missing)), _LETTERS))
+        missing = np.concatenate([missing[words], missing[~words]])
+        new = kinds.take(pa.array(missing))
+        ids, lens = self._ids(new.to_pylist(), int(words.sum()))
+        place[missing] = len(self.keys) + np.arange(len(new))
+        flat, sizes, keys = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, lens]), pa.concat_arrays([self.keys, new])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        if keys.nbytes + flat.nbytes + sizes.nbytes > self.remembered:
+            self.keys = pa.concat_arrays([kinds])
+            self.flat, self.sizes = _gathered(flat, starts, sizes, place)
+        else:
+            self.keys, self.flat, self.sizes = keys, flat, sizes
+        return flat, starts, sizes, place
+
+    def _pieces(self, pieces):
+        """(ids, starts, sizes) of distinct pieces: those of their stems, then those of the points after them."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.and_(pc.string_is_ascii(pieces), pc.invert(pc.match_substring(pieces, "<")))
+        low = pc.if_else(plain, pc.ascii_lower(pieces), pieces)
+        stems, points = pc.extract_regex(low, _CLOSED).flatten()
+        both = pa.concat_arrays([pc.coalesce(stems, low), pc.fill_null(points, "")]).dictionary_encode()
+        flat, starts, sizes, place = self._lookup(both.dictionary)
+        pairs = place[np.asarray(both.indices).reshape(2, -1).T.ravel()]  # each stem and its points
+        ids, each = _gathered(flat, starts, sizes, pairs)
+        each = each.reshape(-1, 2).sum(axis=1)
+        return ids, np.cumsum(each, dtype=np.int64) - each, each
 
     def encode(self, texts):
         """(ids of all texts in a row, ids in each text) of an Arrow array of strings; null: none."""
@@ -80,18 +155,11 @@ class PieceEncoder:
 
         texts = pc.fill_null(texts, "")
         if not self.exact:
-            own = self._ids(texts.to_pylist())
-            lens = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(self.dtype).itemsize
-            return np.frombuffer(b"".join(own), self.dtype), lens
+            return self._ids(texts.to_pylist())
         pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = pieces.flatten().dictionary_encode()
-        kinds = self._lookup(coded.dictionary.to_pylist())
-        at = np.asarray(coded.indices)
-        size = np.fromiter(map(len, kinds), np.int64, len(kinds)) // np.dtype(self.dtype).itemsize
-        flat, first = np.frombuffer(b"".join(kinds), self.dtype), np.concatenate([[0], np.cumsum(size)])
-        each = size[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])]
+        ids, each = _gathered(*self._pieces(coded.dictionary), np.asarray(coded.indices))
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         words = np.concatenate([[0], np.cumsum(np.asarray(pieces.value_lengths(), np.int64))])
         return ids, np.diff(ends[words])
 
@@ -114,19 +182,20 @@ def _put(root: str, name: str, chunks) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-def _get(root: str, name: str, dtype: str):
-    """The file as an array: memory-mapped where it is local, else read."""
+def _get(root: str, name: str, dtype: str, lo: int = 0, hi: int | None = None):
+    """The file's items from ``lo`` to ``hi`` as an array: memory-mapped where it is local, else read."""
     import numpy as np
     from pyarrow import fs as pafs
 
     fs, path = common.filesystem(root)
-    path = f"{path}/{name}"
-    if not fs.get_file_info(path).size:
+    path, wide = f"{path}/{name}", np.dtype(dtype).itemsize
+    hi = fs.get_file_info(path).size // wide if hi is None else hi
+    if hi <= lo:
         return np.empty(0, dtype)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r")
+        return np.memmap(path, dtype=dtype, mode="r")[lo:hi]
     with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.frombuffer(f.read_at((hi - lo) * wide, lo * wide), dtype)
 
 
 def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
@@ -142,10 +211,11 @@ def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
         fs, path = common.filesystem(root)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.part-{part:06d}.ids.{os.getpid()}.{uuid.uuid4().hex}"
-        docs, lens = [], []
+        docs, lens, n_null = [], [], 0
         with fs.open_output_stream(own) as out:
             for batch in batches:
-                docs.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+                n_null += batch.column(0).null_count  # sorted, so they come first
+                docs.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 ids, each = encoder.encode(batch.column(1))
                 ends = np.cumsum(each)
                 out.write(np.insert(ids, ends, np.asarray(end_id, dtype)).tobytes())
@@ -154,9 +224,10 @@ def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
         _put(root, f"part-{part:06d}.docs", [x.tobytes() for x in docs])
         sizes = np.concatenate([np.empty(0, "<u4"), *lens]).astype("<u4")
         _put(root, f"part-{part:06d}.lens", [sizes.tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(sizes.sum(dtype="u8"))], pa.int64())], ["part", "n_docs", "n_tokens"])
+        found = [part, len(sizes), n_null, int(sizes.sum(dtype="u8"))]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()).cast(t) for x, t in zip(found, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["part", "n_docs", "n_null", "n_tokens"])
 
-    return run
+    return common.lean(run)
 
 
 def _finish(root: str):
@@ -173,14 +244,15 @@ def _finish(root: str):
                 _put(root, f"part-{row['part']:06d}.offsets", [offsets.tobytes()])
             yield batch
 
-    return run
+    return common.lean(run)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` into token files under ``root`` (a folder all executors see); returns the
     manifest: one row per file with its base, its number of documents and tokens, and the ids' type.
 
-    Null text: no words, so the end id alone. Null ids come first (stored as ``NULL_ID``). Rows that share an id are
+    Null text: no words, so the end id alone. Null ids come first (stored as 0, counted in the
+    manifest). Rows that share an id are
     ordered by their text, equal rows appear as often as they are given, and other columns are ignored.
     """
     from tokenizers import Tokenizer
@@ -192,7 +264,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer
     ranged = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     parts = common.written(spark, ranged.mapInArrow(_encode(root, tokenizer, dtype, end_id), MANIFEST), "token-parts")
     based = parts.selectExpr("*", "coalesce(sum(n_tokens) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
-    based = based.filter("n_docs > 0").repartition("part").mapInArrow(_finish(root), f"{MANIFEST}, base long")
+    based = based.filter("n_docs > 0").repartition(max(parts.count(), 1)).mapInArrow(_finish(root), f"{MANIFEST}, base long")
     based.withColumn("dtype", F.lit(dtype)).write.parquet(f"{root}/manifest")
     return spark.read.parquet(f"{root}/manifest")
 
@@ -204,26 +276,29 @@ def _digest(root: str, with_ids: bool):
 
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"part-{row['part']:06d}"
-                ids, docs, offsets = _get(root, f"{name}.ids", row["dtype"]), _get(root, f"{name}.docs", "<i8"), _get(root, f"{name}.offsets", "<u8")
-                for lo in range(0, len(docs), 1024):
-                    own, at = np.asarray(docs[lo : lo + 1024]), np.asarray(offsets[lo : lo + 1025]).astype("i8")
+                name, first, last = f"part-{row['part']:06d}", row["first"], min(row["first"] + READ_DOCS, row["n_docs"])
+                docs, offsets = _get(root, f"{name}.docs", "<i8", first, last), _get(root, f"{name}.offsets", "<u8", first, last + 1).astype("i8")
+                for lo in range(0, last - first, 1024):
+                    own, at = np.asarray(docs[lo : lo + 1024]), offsets[lo : lo + 1025]
                     near = at - row["base"]
-                    data = [ids[a:b].astype("<u4") for a, b in zip(near[:-1], near[1:], strict=True)]
-                    columns = [pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in data], pa.int64())]
+                    ids = _get(root, f"{name}.ids", row["dtype"], int(near[0]), int(near[-1]))
+                    data = [ids[a:b].astype("<u4") for a, b in zip(near[:-1] - near[0], near[1:] - near[0], strict=True)]
+                    columns = [pa.array(own, pa.int64(), mask=np.arange(len(own)) + first + lo < row["n_null"]), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in data], pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
                         columns.append(pa.array([x.astype("i8").tolist() for x in data], pa.list_(pa.int64())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return run
+    return common.lean(run)
 
 
 def read_token_files(spark: SparkSession, root: str, with_ids: bool = False) -> DataFrame:
-    """Reads token files back: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids themselves."""
-    manifest = spark.read.parquet(f"{root}/manifest").repartition("part")
-    return manifest.mapInArrow(_digest(root, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    """Reads token files back: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids themselves. Files are read
+    in ranges of ``READ_DOCS`` documents, by as many tasks."""
+    ranges = spark.read.parquet(f"{root}/manifest").withColumn("first", F.explode(F.expr(f"sequence(0L, n_docs - 1, {READ_DOCS}L)")))
+    spread = ranges.repartition(max(ranges.count(), 1))
+    return spread.mapInArrow(_digest(root, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
