@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -26,13 +27,32 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is cut and any executor may be lost."""
+_SCRATCH: list[list[str]] = []
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage is cut and any executor may be lost.
+
+    Within ``scratch`` the table goes when that ends, unless it is kept."""
     path = new_dir(spark, name)
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are written within, when their readers are done: only kept ones outlive it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bounds the Arrow batches sent to Python, so that long texts cannot fill a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -249,6 +249,44 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(common.lean(_overlaps), "u string, v string, nu long, nv long, overlap long")
 
 
+def _cells(batches):
+    """Overlaps of the pairs of a cell, whose sets come before them and are held while it lasts."""
+    import pyarrow as pa
+
+    cell, held = None, {}
+    for batch in batches:
+        us, vs, ns, ms, out = [], [], [], [], []
+        for *own, u, v, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if own != cell:
+                cell, held = own, {}
+            if v is None:
+                held[u] = np.frombuffer(data, np.uint64)
+                continue
+            x, y = sorted((held[u], held[v]), key=len)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            us.append(u)
+            vs.append(v)
+            ns.append(len(held[u]))
+            ms.append(len(held[v]))
+            out.append(int((y[at] == x).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(ns, pa.int64()), pa.array(ms, pa.int64()), pa.array(out, pa.int64())], ["u", "v", "nu", "nv", "overlap"])
+
+
+def near_overlaps(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """As ``overlaps``, for pairs of which many share both their classes: those of a component of the pairs are compared
+    in cells, of two blocks of about ``CELL`` shingles, so that a set is sent once to each cell and not with each pair."""
+    groups = components(spark, pairs)
+    sized = groups.join(sets.select(F.col("sig").alias("node"), "n"), "node")
+    blocks = sized.groupBy("component").agg(F.expr(f"1 + sum(n) div {CELL}").alias("blocks"))
+    placed = common.written(spark, sized.join(blocks, "component").select("node", "component", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "join-cells")
+    told = placed.select("component", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"), F.col("node").alias("sig")).join(sets.select("sig", "tokens"), "sig")
+    told = told.select("component", F.expr("least(block, other) AS lo"), F.expr("greatest(block, other) AS hi"), F.col("sig").alias("u"), F.lit(None).cast("string").alias("v"), "tokens")
+    asked = pairs.join(placed.select(F.col("node").alias("u"), "component", F.col("block").alias("bu")), "u").join(placed.select(F.col("node").alias("v"), F.col("block").alias("bv")), "v")
+    asked = asked.select("component", F.expr("least(bu, bv) AS lo"), F.expr("greatest(bu, bv) AS hi"), "u", "v", F.lit(None).cast("binary").alias("tokens"))
+    both = told.unionByName(asked).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", F.col("v").asc_nulls_first())
+    return both.mapInArrow(common.lean(_cells), "u string, v string, nu long, nv long, overlap long")
+
+
 # --- 3. candidates
 
 
@@ -487,7 +525,7 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     met = listed.join(centres, "star").withColumn("other", F.explode(F.expr("sequence(0, cast(parts AS int) - 1)")))
     met = met.selectExpr("token", "least(part, other) AS lo", "greatest(part, other) AS hi", "cast(part > other AS int) AS side", "star", "comp", "n", "r", "sketch")
     stars = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_candidates(threshold), "u string, v string").distinct()
-    far = overlaps(common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
+    far = near_overlaps(spark, common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
     close = far.filter(f"1 - overlap / (nu + nv - overlap) <= {1 - threshold / 100} + ru + rv + 1e-9").select("u", "v")
     clusters = components(spark, common.written(spark, close, "join-close"))
 
@@ -529,7 +567,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int
 def representatives(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component: the one of the least id (null last), then of the least hash of its
     text. Documents without shingles all stay. Of a representative's repeated rows one stays."""
-    rows = common.written(spark, join(spark, docs, k, threshold).filter("component IS NOT NULL"), "join-rows")
+    with common.scratch(spark):
+        found = join(spark, docs, k, threshold).filter("component IS NOT NULL")
+        rows = common.written(spark, found, "join-rows", keep=True)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("f")).select("component", F.col("f.doc_id").alias("first_id"), F.col("f.text_hash").alias("first_hash"))
     told = rows.join(first, "component").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
     dropped = told.filter("NOT is_first").select("doc_id", "text_hash").distinct()
