@@ -458,6 +458,8 @@ def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.0085) -> tuple[np
 def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[str, str, np.ndarray]], threshold: int = THRESHOLD) -> list[tuple[str, str]]:
     """Links of ``queries`` (class, component, set) with the ``index`` in other components. A component that a query
     has reached in this cell is not searched again for it."""
+    if not index or not queries:
+        return []
     index = sorted(index, key=lambda x: len(x[2]))
     sizes = np.array([len(x[2]) for x in index])
     tokens = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in index)])

@@ -56,10 +56,15 @@ def test_piece_encoder_is_exact(name):
     letters = "aZé'. ,\n\t<|>1ß́ \x1c漢😀"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(400)] + ["<|endoftext|> x", "IT'S, it's.., <|ENDOFTEXT|>.", None]
     plain = tokenizers.Tokenizer.from_file(path)
-    ids, lens = token_files.PieceEncoder(path, "<u4").encode(pa.array(texts, pa.string()))
+    texts += [f"{w}{p}" for w in ("née", "Ünd", "straße", "abc", "x2", "a<b", "naïve'S") for p in ("", ".", ",&&&", "'", "'s", "|>", "***")]
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
-    assert lens.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [i for w in want for i in w]
+    for remembered in (1 << 20, 1):  # all pieces, and those of the last batch
+        encoder = token_files.PieceEncoder(path, "<u4", remembered)
+        assert encoder.exact == (name == "word_bpe_49k.json")
+        for step in (len(texts), 7):
+            found = [encoder.encode(pa.array(texts[lo : lo + step], pa.string())) for lo in range(0, len(texts), step)]
+            assert [n for _, lens in found for n in lens.tolist()] == [len(w) for w in want]
+            assert [i for ids, _ in found for i in ids.tolist()] == [i for w in want for i in w]
 
 
 # --- 2
@@ -119,6 +124,13 @@ def test_lines_of_recurring_templates_go(spark, docs, odd, none):
     assert line_dedup.dedup(spark, odd).count() == len(ODD) and line_dedup.dedup(spark, none).count() == 0
 
 
+def test_short_lines_recur_by_their_exact_text(spark):
+    rows = [(i, f"All rights reserved.\nPage {i}\nno {'abcdefgh'[i]} here\n" + ("Read more\n" if i < 6 else "")) for i in range(8)]
+    got = line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == {i: t.replace("All rights reserved.\n", "") for i, t in rows}
+    assert all(x.n_dropped == 1 for x in got)
+
+
 def test_leaf_generalises_differing_places():
     leaf = line_dedup.Leaf(0.7)
     assert [leaf.add(x.split()) for x in ("a b c d e", "a b c d f", "a x y z w")] == [0, 0, 1]
@@ -306,7 +318,11 @@ def brute_components(rows, threshold=75):
     return sorted(out, key=str)
 
 
-def test_ngram_join_matches_brute_force(spark, docs):
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_matches_brute_force(spark, docs, monkeypatch, small):
+    if small:  # many buckets, blocks of lists, cells and parts of pairs; workers keep their own values
+        for name, value in {"BUCKET": 100, "LIST": 4, "CELL": 500, "PAIRS": 3}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(6)
     passage, rows = prose(rng, 60, 2000), []
     for family in range(12):
@@ -386,3 +402,19 @@ def test_components(spark, monkeypatch, links):
         up[b] = a
     got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(pairs, "u string, v string")).collect()}
     assert got == {x: root(x) for p in pairs for x in p if p[0] != p[1]}
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    names = {"lang": "_id", "hit": "_hash", "row": "_copies", "n_chars": "_copy"}
+    clash = odd.withColumnsRenamed(names)
+    bench = spark.createDataFrame([(1, "three four five")], "item_id long, text string")
+    for got in (decontaminate.clean(spark, clash, bench), ngram_join.representatives(spark, clash), mixing.mixed(spark, clash)):
+        assert got.columns == clash.columns and got.count() > 0
+
+
+def test_large_keys_are_not_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    rows = [(i, f"text {i}") for i in range(20)]
+    keys = docs(rows[:15]).select("doc_id", F.xxhash64("text").alias("text_hash"))
+    got = common.by_key(docs(rows), keys, "left_anti")
+    assert {r.doc_id for r in got.collect()} == set(range(15, 20)) and "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
