@@ -77,3 +77,10 @@ def disagreements(quotes: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """Quotes beside the model: model cost and the difference in basis points of turnover."""
     model = order_cost(F.col("turnover"), F.col("transaction_type"), costs, F.col("product"))
     return quotes.withColumn("model", model).withColumn("diff_bps", F.coalesce(F.abs(F.try_divide((F.col("model") - F.col("total")) * 10_000, F.col("turnover"))), F.lit(0.0)))
+
+
+def gate(compared: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """One row: n, beyond (quotes that differ by more than ``tolerance`` basis points), worst_bps and the exit code: 0 all
+    within, 1 some beyond, 3 nothing to compare."""
+    beyond = F.count_if(F.col("diff_bps") > tolerance)
+    return compared.agg(F.count("*").alias("n"), beyond.alias("beyond"), F.max("diff_bps").alias("worst_bps"), F.when(F.count("*") == 0, 3).when(beyond > 0, 1).otherwise(0).alias("code"))

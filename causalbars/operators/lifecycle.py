@@ -100,9 +100,11 @@ def lifecycles(configs: DataFrame, crossed: DataFrame, panel: DataFrame, members
         "entry_price": slipped(F.when(F.col("same_bar"), F.col("close")).otherwise(F.col("fill_open")), "BUY", F.col("slippage_bps")),
     })
     id_ = ["config_id", "symbol", "row_id"]
-    # Rules other than the crossover: the first row from the fill on, before the last, at which one holds.
-    ruled = filled.filter("max_days IS NOT NULL OR stop_loss IS NOT NULL").select(*id_, "fill_row", "entry_date", "entry_price", "max_days", "stop_loss", "last", F.col("symbol").alias("s"))
-    ruled = ruled.join(panel.select(F.col("symbol").alias("s2"), F.col("row_id").alias("r"), F.col("date").alias("d"), F.col("close").alias("c")), (F.col("s") == F.col("s2")) & (F.col("r") >= F.col("fill_row")) & (F.col("r") < F.col("last")))
+    # Rules other than the crossover: the first row from the fill on, before the last, at which one holds. Rows beyond a
+    # bear crossover that ends the life anyway, or max_days rows on (a row is a day at least), cannot be that row.
+    ruled = filled.filter("max_days IS NOT NULL OR stop_loss IS NOT NULL").select(*id_, "fill_row", "entry_date", "entry_price", "max_days", "stop_loss", "last", F.when(F.col("on_bear"), F.col("next_cross")).alias("crossed"), F.col("symbol").alias("s"))
+    upto = F.least(F.col("last") - 1, "crossed", F.col("fill_row") + F.col("max_days"))
+    ruled = ruled.withColumn("upto", upto).join(panel.select(F.col("symbol").alias("s2"), F.col("row_id").alias("r"), F.col("date").alias("d"), F.col("close").alias("c")), (F.col("s") == F.col("s2")) & (F.col("r") >= F.col("fill_row")) & (F.col("r") <= F.col("upto")))
     too_long = F.coalesce(F.datediff("d", "entry_date") >= F.col("max_days"), F.lit(False))
     stopped = F.coalesce(F.col("c") <= F.col("entry_price") * (1 - F.col("stop_loss")), F.lit(False))
     ruled = ruled.filter(too_long | stopped).groupBy(*id_).agg(F.min(F.struct(F.col("r"), F.when(too_long, "max_holding").otherwise("stop_loss").alias("why"))).alias("rule"))

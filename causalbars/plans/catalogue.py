@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalbars.config import Settings
-from causalbars.functions.costs import buy_cost, disagreements, order_cost, parse_quotes, sell_cost, slipped
-from causalbars.operators import indicators, joins, lifecycle, metrics, nulls, orders, portfolio, selection_bias, sessions, sweep, universe
+from causalbars.functions.costs import buy_cost, disagreements, gate, order_cost, parse_quotes, sell_cost, slipped
+from causalbars.operators import indicators, joins, lifecycle, metrics, nulls, orders, portfolio, research, selection_bias, sessions, sweep, universe
 from causalbars.operators.panel import own_clock, band_blocked, between, dense, tradeable, union_calendar
 from causalbars.plans.oracle import sql
 from causalbars.sources import tables
@@ -519,7 +519,7 @@ def _pick_sql(draw: str, j: str, purpose: int) -> str:
     return f"(({x} * 16807 + {purpose}) % 2147483647)"
 
 
-DRAWS = 60
+DRAWS = 1000
 _PAID = """pd AS (SELECT g.draw, g.p0 * 1.0025 AS buy, b.open * 0.9975 AS sell FROM ch g LEFT JOIN (SELECT b.symbol, b.open, c.row_id FROM bars b JOIN cal c ON c.date = b.date) b ON b.symbol = g.symbol AND b.row_id = g.end_row),
 nt AS (SELECT draw, coalesce(((sell - buy) * q - (t * 0.0000317 + t * 0.00115 + t * 0.0000317 * 0.18) - (u * 0.0000317 + u * 0.001 + u * 0.0000317 * 0.18 + 15.34)) / 1e5, 0) AS x FROM (SELECT *, 1e5 / buy AS q, 1e5 / buy * buy AS t, 1e5 / buy * sell AS u FROM pd))"""
 _POOL = f"""el AS (SELECT b.symbol, c.row_id, b.open, row_number() OVER (PARTITION BY c.row_id ORDER BY b.symbol) - 1 AS pos, count(*) OVER (PARTITION BY c.row_id) AS n_pos FROM bars b JOIN cal c ON c.date = b.date WHERE (b.symbol, b.date) IN (SELECT (symbol, date) FROM pit) AND b.open IS NOT NULL),
@@ -553,7 +553,7 @@ def _(spark, d):
 
 # --- walk-forward and selection bias, on long-or-flat returns of single symbols as configurations
 
-FLAT = """fl AS (SELECT symbol AS config_id, date, CASE WHEN lag(regime) OVER w = 1 THEN coalesce(close / lag(close) OVER w - 1, 0) ELSE 0 END AS ret FROM pan WHERE CAST(substr(symbol, 2) AS INT) < 12 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+FLAT = """fl AS (SELECT symbol AS config_id, date, CASE WHEN lag(regime) OVER w = 1 THEN coalesce(close / lag(close) OVER w - 1, 0) ELSE 0 END AS ret FROM pan WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 po AS (SELECT config_id, row_number() OVER (ORDER BY config_id) - 1 AS pos FROM (SELECT DISTINCT config_id FROM fl)),
 yr AS (SELECT config_id, CAST(year(date) AS INT) AS y, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q, product(1 + ret) - 1 AS grown FROM fl GROUP BY 1, 2),
 tn AS (SELECT t.test_year, yr.config_id, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM yr JOIN (SELECT DISTINCT y AS test_year FROM yr WHERE y >= (SELECT min(y) FROM yr) + 3) t ON yr.y BETWEEN t.test_year - 3 AND t.test_year - 1 GROUP BY 1, 2 HAVING sum(n) >= 100),
@@ -561,40 +561,31 @@ bs AS (SELECT * FROM (SELECT tn.*, sh, row_number() OVER (PARTITION BY test_year
 pk AS (SELECT bs.test_year, bs.config_id, bs.sh AS train_sharpe, yr.grown AS test_return FROM bs JOIN yr ON yr.config_id = bs.config_id AND yr.y = bs.test_year)"""
 
 
-#: The same over every symbol; ``FLAT`` itself keeps the twelve symbols (ids below 12) of the older queries.
-WHOLE = FLAT.replace(" WHERE CAST(substr(symbol, 2) AS INT) < 12", "")
-
-
-def _flat(spark, d, own="cast(substr(symbol, 2) AS int) < 12"):
+def _flat(spark, d):
     i = Inputs(spark, d)
-    p = indicators.signal_panel(i.bars.filter(own), i.calendar, 6, 30)
+    p = indicators.signal_panel(i.bars, i.calendar, 6, 30)
     ret = F.when(F.lag("regime").over(own_clock()) == 1, F.coalesce(F.col("close") / F.lag("close").over(own_clock()) - 1, F.lit(0.0))).otherwise(0.0)
     flat = p.select(F.col("symbol").alias("config_id"), "date", ret.alias("ret"))
     order = flat.select("config_id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("config_id")) - 1)
     return flat, order
 
 
-def _whole(spark, d):
-    return _flat(spark, d, "true")
-
-
-def on_both(name: str, select: str, *more: str):
-    """Registers ``name`` on the symbols of ``FLAT`` and ``name``_all on every symbol."""
+def on_flat(name: str, select: str, *more: str):
+    """Registers ``name`` on the flat returns of every symbol."""
 
     def add(f):
         query(name, sql(select, FLAT, *more))(lambda spark, d: f(spark, d, *_flat(spark, d)))
-        query(f"{name}_all", sql(select, WHOLE, *more))(lambda spark, d: f(spark, d, *_whole(spark, d)))
         return f
 
     return add
 
 
-@on_both("walk_forward_picks", "SELECT test_year, config_id, round(train_sharpe, 6) AS train_sharpe, round(test_return, 6) AS test_return FROM pk")
+@on_flat("walk_forward_picks", "SELECT test_year, config_id, round(train_sharpe, 6) AS train_sharpe, round(test_return, 6) AS test_return FROM pk")
 def _(spark, d, flat, order):
     return sweep.walk_forward(flat, order, least_rows=100).select("test_year", "config_id", r("train_sharpe").alias("train_sharpe"), r("test_return").alias("test_return"))
 
 
-@on_both("oos_curve", "SELECT fl.date, fl.config_id, round(product(1 + ret) OVER (ORDER BY fl.date ROWS UNBOUNDED PRECEDING), 6) AS growth FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)")
+@on_flat("oos_curve", "SELECT fl.date, fl.config_id, round(product(1 + ret) OVER (ORDER BY fl.date ROWS UNBOUNDED PRECEDING), 6) AS growth FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)")
 def _(spark, d, flat, order):
     return sweep.out_of_sample(flat, sweep.walk_forward(flat, order, least_rows=100)).select("date", "config_id", r(F.col("equity") / 1e6).alias("growth"))
 
@@ -602,34 +593,20 @@ def _(spark, d, flat, order):
 _RANKED = "rg AS (SELECT config_id, coalesce(avg(ret - 0.065 / 252) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe_rf, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe_raw, product(1 + ret) - 1 AS grown FROM fl GROUP BY config_id)"
 
 
-@on_both("grid_sharpe_rank", "SELECT config_id, round(sharpe_rf, 6) AS sharpe_rf, round(sharpe_raw, 6) AS sharpe_raw, row_number() OVER (ORDER BY round(sharpe_rf, 9) DESC, config_id) AS rank_rf, row_number() OVER (ORDER BY round(sharpe_raw, 9) DESC, config_id) AS rank_raw FROM rg", _RANKED)
+@on_flat("grid_sharpe_rank", "SELECT config_id, round(sharpe_rf, 6) AS sharpe_rf, round(sharpe_raw, 6) AS sharpe_raw, row_number() OVER (ORDER BY round(sharpe_rf, 9) DESC, config_id) AS rank_rf, row_number() OVER (ORDER BY round(sharpe_raw, 9) DESC, config_id) AS rank_raw FROM rg", _RANKED)
 def _(spark, d, flat, order):
     return sweep.ranked_grid(flat, order).select("config_id", r("sharpe_rf").alias("sharpe_rf"), r("sharpe_raw").alias("sharpe_raw"), "rank_rf", "rank_raw")
 
 
-@on_both("hindsight_gap", "SELECT round((SELECT grown FROM rg JOIN po USING (config_id) ORDER BY round(sharpe_raw, 9) DESC, pos LIMIT 1), 6) AS hindsight, round((SELECT product(1 + ret) - 1 FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)), 6) AS walk_forward", _RANKED)
+@on_flat("hindsight_gap", "SELECT round((SELECT grown FROM rg JOIN po USING (config_id) ORDER BY round(sharpe_raw, 9) DESC, pos LIMIT 1), 6) AS hindsight, round((SELECT product(1 + ret) - 1 FROM fl JOIN pk ON pk.config_id = fl.config_id AND pk.test_year = year(fl.date)), 6) AS walk_forward", _RANKED)
 def _(spark, d, flat, order):
     best = sweep.ranked_grid(flat, order).filter("rank_raw = 1").select(r("grown").alias("hindsight"))
     oos = sweep.out_of_sample(flat, sweep.walk_forward(flat, order, least_rows=100)).agg(r(F.product(1 + F.col("ret")) - 1).alias("walk_forward"))
     return best.join(oos)
 
 
-_SPLIT_SQL = """bk AS (SELECT date, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS block FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fl))),
-hv AS (SELECT m AS split FROM range(64) t(m) WHERE bit_count(m::INT) = 3),
-sd AS (SELECT split, b AS block, (split >> b) & 1 = 1 AS train FROM hv, range(6) t(b)),
-sm AS (SELECT sd.split, sd.train, fl.config_id, coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) * sqrt(252) AS sharpe FROM fl JOIN bk USING (date) JOIN sd ON sd.block = bk.block GROUP BY 1, 2, 3),
-wn AS (SELECT split, config_id AS winner FROM (SELECT sm.*, row_number() OVER (PARTITION BY split ORDER BY round(sharpe, 9) DESC, config_id) AS k FROM sm WHERE train) WHERE k = 1),
-rk AS (SELECT s.split, avg(CASE WHEN round(s.sharpe, 9) < round(t.sharpe, 9) THEN 1.0 ELSE 0 END) AS oos_rank FROM sm s JOIN wn ON wn.split = s.split JOIN sm t ON t.split = s.split AND t.config_id = wn.winner AND NOT t.train WHERE NOT s.train GROUP BY s.split)"""
-
-
-@query("pbo_cscv", sql("SELECT round(avg(CASE WHEN oos_rank < 0.5 THEN 1.0 ELSE 0 END), 6) AS pbo, count(*) AS n_splits FROM rk", FLAT, _SPLIT_SQL))
-def _(spark, d):
-    found = selection_bias.cscv(spark, *_flat(spark, d), blocks=6, halves=selection_bias.splits(6, None))
-    return selection_bias.pbo(found).select(r("pbo").alias("pbo"), "n_splits")
-
-
 #: All halves of twelve blocks over every symbol; a block's sums are added up, as its rows would be read 924 times.
-_SPLIT_ALL_SQL = """bk AS (SELECT date, CASE WHEN i < (n % 12) * (n // 12 + 1) THEN i // (n // 12 + 1) ELSE n % 12 + (i - (n % 12) * (n // 12 + 1)) // (n // 12) END AS block FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fl))),
+_SPLIT_SQL = """bk AS (SELECT date, CASE WHEN i < (n % 12) * (n // 12 + 1) THEN i // (n // 12 + 1) ELSE n % 12 + (i - (n % 12) * (n // 12 + 1)) // (n // 12) END AS block FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM fl))),
 ct AS (SELECT *, ret - avg(ret) OVER (PARTITION BY config_id) AS x, avg(ret) OVER (PARTITION BY config_id) AS m FROM fl),
 bsum AS (SELECT block, config_id, any_value(m) AS m, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM ct JOIN bk USING (date) GROUP BY 1, 2),
 hv AS (SELECT m AS split FROM range(4096) t(m) WHERE bit_count(m::INT) = 6),
@@ -639,20 +616,20 @@ wn AS (SELECT split, config_id AS winner FROM (SELECT sm.*, row_number() OVER (P
 rk AS (SELECT s.split, avg(CASE WHEN s.sharpe < t.sharpe THEN 1.0 ELSE 0 END) AS oos_rank FROM sm s JOIN wn ON wn.split = s.split JOIN sm t ON t.split = s.split AND t.config_id = wn.winner AND NOT t.train WHERE NOT s.train GROUP BY s.split)"""
 
 
-@query("pbo_cscv_all", sql("SELECT round(avg(CASE WHEN oos_rank < 0.5 THEN 1.0 ELSE 0 END), 6) AS pbo, count(*) AS n_splits FROM rk", WHOLE, _SPLIT_ALL_SQL))
+@query("pbo_cscv", sql("SELECT round(avg(CASE WHEN oos_rank < 0.5 THEN 1.0 ELSE 0 END), 6) AS pbo, count(*) AS n_splits FROM rk", FLAT, _SPLIT_SQL))
 def _(spark, d):
-    found = selection_bias.cscv(spark, *_whole(spark, d), blocks=12, halves=selection_bias.splits(12, None))
+    found = selection_bias.cscv(spark, *_flat(spark, d), blocks=12, halves=selection_bias.splits(12, None))
     return selection_bias.pbo(found).select(r("pbo").alias("pbo"), "n_splits")
 
 
 @query("selection_bias_report")
 def _(spark, d):
-    return selection_bias.report(spark, *_whole(spark, d))
+    return selection_bias.report(spark, *_flat(spark, d))
 
 
 @query("spa_test")
 def _(spark, d):
-    flat, _ = _whole(spark, d)
+    flat, _ = _flat(spark, d)
     levels = tables.order_benchmark(spark, d).withColumn("one", F.lit(1))
     return selection_bias.spa(spark, flat, indicators.returns(levels, "one", "date", "level"), reps=1000)
 
@@ -663,18 +640,12 @@ def _(spark, d):
     return per.agg(r(F.corr("g", F.log("n"))).alias("corr"))
 
 
-@query("heat_map", sql("SELECT CAST(year(date) AS INT) AS y, " + ", ".join(f"round(product(1 + ret) FILTER (month(date) = {m}) - 1, 6) AS m{m}" for m in (1, 4, 7, 10)) + " FROM fl WHERE config_id = 'S00001' GROUP BY 1", FLAT))
-def _(spark, d):
-    own = _flat(spark, d)[0].filter("config_id = 'S00001'").select(F.year("date").alias("y"), F.concat(F.lit("m"), F.month("date").cast("string")).alias("m"), "ret")
-    return own.groupBy("y").pivot("m", ["m1", "m4", "m7", "m10"]).agg(r(F.product(1 + F.col("ret")) - 1))
-
-
 _MONTHS = tuple(range(1, 13))
 
 
-@query("heat_map_all", sql("SELECT config_id, CAST(year(date) AS INT) AS y, " + ", ".join(f"round(product(1 + ret) FILTER (month(date) = {m}) - 1, 6) AS m{m}" for m in _MONTHS) + " FROM fl GROUP BY 1, 2", WHOLE))
+@query("heat_map", sql("SELECT config_id, CAST(year(date) AS INT) AS y, " + ", ".join(f"round(product(1 + ret) FILTER (month(date) = {m}) - 1, 6) AS m{m}" for m in _MONTHS) + " FROM fl GROUP BY 1, 2", FLAT))
 def _(spark, d):
-    own = _whole(spark, d)[0].select("config_id", F.year("date").alias("y"), F.concat(F.lit("m"), F.month("date").cast("string")).alias("m"), "ret")
+    own = _flat(spark, d)[0].select("config_id", F.year("date").alias("y"), F.concat(F.lit("m"), F.month("date").cast("string")).alias("m"), "ret")
     return own.groupBy("config_id", "y").pivot("m", [f"m{m}" for m in _MONTHS]).agg(r(F.product(1 + F.col("ret")) - 1))
 
 
@@ -689,3 +660,70 @@ def _(spark, d):
     n = rows.agg(F.count("*").alias("n"))
     at = spark.range(50).join(F.broadcast(n)).select(F.expr("cast(floor(id * (n - 1) / 49) AS int)").alias("i")).distinct()
     return rows.join(F.broadcast(at), "i", "left_semi").select("date", "level")
+
+
+# --- second-tier research statistics
+
+
+@query("suspicious_mask", sql("SELECT symbol, date, max(far) OVER (PARTITION BY symbol ORDER BY date ROWS 30 PRECEDING) AS masked FROM (SELECT *, coalesce(abs(close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1) > 0.3, false) AS far FROM bars)"))
+def _(spark, d):
+    return research.suspicious(Inputs(spark, d).bars).select("symbol", "date", "masked")
+
+
+#: Flat positions: a symbol is held on the rows after a bullish regime.
+_HELD = "hd AS (SELECT symbol AS config_id, date, CASE WHEN lag(regime) OVER w = 1 THEN 1.0 ELSE 0.0 END AS weight, CASE WHEN lag(regime) OVER w = 1 THEN coalesce(close / lag(close) OVER w - 1, 0) ELSE 0 END AS ret FROM pan WINDOW w AS (PARTITION BY symbol ORDER BY date))"
+
+
+@query("annual_turnover", sql("SELECT config_id, CAST(year(date) AS INT) AS y, sum(change) AS turnover, round(product(1 + ret) - 1, 6) AS gross, round(product(1 + ret - change * 0.0025) - 1, 6) AS net FROM (SELECT *, abs(weight - coalesce(lag(weight) OVER (PARTITION BY config_id ORDER BY date), 0)) AS change FROM hd) GROUP BY 1, 2", _HELD))
+def _(spark, d):
+    i = Inputs(spark, d)
+    p = indicators.signal_panel(i.bars, i.calendar, 6, 30)
+    held = F.coalesce(F.lag("regime").over(own_clock()) == 1, F.lit(False))
+    ret = F.when(held, F.coalesce(F.col("close") / F.lag("close").over(own_clock()) - 1, F.lit(0.0))).otherwise(0.0)
+    weights = p.select(F.col("symbol").alias("config_id"), "date", held.cast("double").alias("weight"), ret.alias("ret"))
+    return research.turnover(weights).select("config_id", "y", "turnover", r("gross").alias("gross"), r("net").alias("net"))
+
+
+_TESTED = """ts AS (SELECT config_id, round(coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(*)), 0), 9) AS t FROM fl GROUP BY config_id),
+pv AS (SELECT config_id, t, abs(t) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(t) / sqrt(2.0::DOUBLE)) AS k FROM ts),
+pp AS (SELECT config_id, t, round((((((1.061405429::DOUBLE * k - 1.453152027::DOUBLE) * k) + 1.421413741::DOUBLE) * k - 0.284496736::DOUBLE) * k + 0.254829592::DOUBLE) * k * exp(-x * x), 9) AS p FROM pv),
+pl AS (SELECT *, row_number() OVER (ORDER BY p, config_id) AS place, count(*) OVER () AS n FROM pp)"""
+
+
+@query("false_discoveries", sql("SELECT config_id, round(t, 6) AS t, round(p, 6) AS p, CAST(place AS INT) AS place, round(least(1.0::DOUBLE, min(p * n / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM pl", FLAT, _TESTED))
+def _(spark, d):
+    flat, _ = _flat(spark, d)
+    t = F.round(F.coalesce(F.avg("ret") / F.nullif(F.stddev_samp("ret"), F.lit(0.0)) * F.sqrt(F.count("*")), F.lit(0.0)), 9)
+    tests = flat.groupBy("config_id").agg(t.alias("t")).withColumn("p", F.round(research.two_sided(F.col("t")), 9))
+    return research.discoveries(tests).select("config_id", r("t").alias("t"), r("p").alias("p"), "place", r("q").alias("q"))
+
+
+_REGRESSED = """br AS (SELECT date, level / lag(level) OVER (ORDER BY date) - 1 AS bench FROM bench),
+kn AS (SELECT config_id, fl.date, ret, bench FROM fl JOIN br USING (date) WHERE bench IS NOT NULL),
+ft AS (SELECT config_id, count(*) AS n, regr_slope(ret, bench) AS beta, regr_intercept(ret, bench) AS alpha, avg(bench) AS m, regr_sxx(ret, bench) AS sxx FROM kn GROUP BY 1),
+gg AS (SELECT config_id, date, n, alpha, beta, (1.0::DOUBLE / n - m * (bench - m) / sxx) * (ret - alpha - beta * bench) AS g FROM kn JOIN ft USING (config_id)),
+vv AS (SELECT config_id, n, alpha, beta, g * (g + """ + " + ".join(f"{2 * (1 - k / 6)!r}::DOUBLE * coalesce(lag(g, {k}) OVER w, 0)" for k in range(1, 6)) + """) AS v FROM gg WINDOW w AS (PARTITION BY config_id ORDER BY date))"""
+
+
+@query("alpha_beta", sql("SELECT config_id, n, round(alpha, 8) AS alpha, round(beta, 6) AS beta, round(alpha / nullif(sqrt(nullif(greatest(sum(v), 0), 0)), 0), 4) AS t_alpha FROM vv GROUP BY config_id, n, alpha, beta", FLAT, _REGRESSED))
+def _(spark, d):
+    flat, _ = _flat(spark, d)
+    levels = indicators.returns(tables.order_benchmark(spark, d).withColumn("one", F.lit(1)), "one", "date", "level").select("date", F.col("ret").alias("bench"))
+    found = research.alpha_beta(flat.join(F.broadcast(levels), "date"))
+    return found.select("config_id", "n", r("alpha", 8).alias("alpha"), r("beta").alias("beta"), r("t_alpha", 4).alias("t_alpha"))
+
+
+@query("rolling_growth", sql("SELECT count(*) AS n, round(avg(CASE WHEN g < 0 THEN 1.0 ELSE 0 END), 6) AS lost, " + ", ".join(f"round(quantile_cont(g, {p}), 6) AS p{round(100 * p):02d}" for p in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM (SELECT level / lag(level, 52) OVER (ORDER BY date) - 1 AS g FROM bench) WHERE g IS NOT NULL"))
+def _(spark, d):
+    out = research.rolling_growth(tables.order_benchmark(spark, d), 52)
+    return out.select("n", *(r(c).alias(c) for c in out.columns[1:]))
+
+
+@query("charge_gate", """SELECT count(*) AS n, count(*) FILTER (diff > 0.5) AS beyond, round(max(diff), 4) AS worst_bps, CAST(CASE WHEN count(*) = 0 THEN 3 WHEN count(*) FILTER (diff > 0.5) > 0 THEN 1 ELSE 0 END AS INT) AS code FROM
+  (SELECT abs(model - total) / turnover * 10000 AS diff FROM (SELECT o_totalprice AS turnover, round(o_totalprice * 0.0012, 4) AS total,
+    CASE WHEN o_orderkey % 2 = 0 THEN {share} + t * 0.001 + t * 0.00015 + ({share}) * 0.18 ELSE {share} + t * 0.001 + ({share}) * 0.18 END AS model FROM (SELECT *, o_totalprice AS t FROM orders)))""".replace("{share}", _SHARE))
+def _(spark, d):
+    o = tables.load(spark, d, "orders")
+    body = F.to_json(F.struct(F.col("o_totalprice").cast("string").alias("turnover"), F.struct(F.round(F.col("o_totalprice") * 0.0012, 4).alias("total")).alias("charges")))
+    asked = o.select(F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("transaction_type"), F.lit("CNC").alias("product"), F.lit(1).alias("quantity"), F.col("o_totalprice").alias("average_price"), body.alias("response"))
+    return gate(disagreements(parse_quotes(asked))).select("n", "beyond", r("worst_bps", 4).alias("worst_bps"), "code")

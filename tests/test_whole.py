@@ -15,12 +15,12 @@ needs_data = pytest.mark.skipif(not os.path.exists(DATA), reason="no test data")
 @needs_data
 def test_sweeps_take_every_symbol(spark):
     q = catalogue.queries()
-    flat = catalogue._whole(spark, DATA)[0].collect()
+    flat = catalogue._flat(spark, DATA)[0].collect()
     by = defaultdict(list)
     for x in flat:
         by[x.config_id].append(x.ret)
     assert len(by) == catalogue.Inputs(spark, DATA).bars.select("symbol").distinct().count() > 12
-    got = {x.config_id: x for x in q["grid_sharpe_rank_all"](spark, DATA).collect()}
+    got = {x.config_id: x for x in q["grid_sharpe_rank"](spark, DATA).collect()}
 
     def sharpe(v):
         m = sum(v) / len(v)
@@ -45,81 +45,13 @@ def test_heat_map_has_all_pairs_of_the_grid(spark):
 @needs_data
 def test_monthly_map_has_all_months_of_every_symbol(spark):
     grown = defaultdict(lambda: 1.0)
-    for x in catalogue._whole(spark, DATA)[0].collect():
+    for x in catalogue._flat(spark, DATA)[0].collect():
         grown[x.config_id, x.date.year, x.date.month] *= 1 + x.ret
-    rows = catalogue.queries()["heat_map_all"](spark, DATA).collect()
+    rows = catalogue.queries()["heat_map"](spark, DATA).collect()
     got = {(x.config_id, x.y, m): x[f"m{m}"] for x in rows for m in range(1, 13) if x[f"m{m}"] is not None}
     assert got == pytest.approx({k: v - 1 for k, v in grown.items()}, abs=2e-6)
 
 
-def test_short_lines_recur_by_their_exact_text(spark):
-    from causalbars.llm import line_dedup
-
-    rows = [(i, f"All rights reserved.\nPage {i}\nno {'abcdefgh'[i]} here\n" + ("Read more\n" if i < 6 else "")) for i in range(8)]
-    got = line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.text for x in got} == {i: t.replace("All rights reserved.\n", "") for i, t in rows}
-    assert all(x.n_dropped == 1 for x in got)
-
-
-def test_all_notices_of_a_block_are_found():
-    from causalbars.llm import licenses
-
-    scanner, names = licenses.Scanner(licenses.TEMPLATES), lambda found: [x[0] for x in found]
-    both = "Released under the MIT License. Licensed under CC BY-NC 4.0."
-    assert names(scanner.scan(both)) == ["MIT", "CC-BY-NC-4.0"]
-    many = " ".join([both, "Licensed under the Apache License, Version 2.0."] * 100)
-    assert len(licenses.blocks(many)) == 1 and names(scanner.scan(many)) == ["MIT", "CC-BY-NC-4.0", "Apache-2.0"] * 100
-
-
-def test_wordings_of_a_license_may_differ_but_for_its_name():
-    from causalbars.llm import licenses
-
-    scanner = licenses.Scanner(licenses.TEMPLATES)
-    gnu = "under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
-    want = {
-        "Distributed under the MIT License": ["MIT"],
-        "Released under MIT license": ["MIT"],
-        "licensed under Apache License 2.0": ["Apache-2.0"],
-        gnu.format("", 3): ["GPL-3.0"],
-        gnu.format("", 2): ["GPL-2.0"],
-        gnu.format("Lesser ", 3): ["LGPL-3.0"],
-        gnu.format("Affero ", 3): [],
-        "Licensed under the Apache License, Version 1.1. Needs 2.0": [],
-        "Licensed under CC BY NC 4.0.": [],
-        "Licensed under CC BY-SA 3.0.": [],
-        "the MIT License is short": [],
-        "my driving license expired": [],
-    }
-    assert {t: [x[0] for x in scanner.scan(t)] for t in want} == want
-    own = licenses.Scanner({"own": "Use of this program is granted under house rules 7.", "also": [("Granted under rule", ("rule",))]})
-    assert [x[0] for x in own.scan("license: use of this program is granted under house rules 7.")] == ["own"]
-
-
-def test_long_lines_recur_from_two_documents(spark):
-    from causalbars.llm import line_dedup
-
-    line = lambda n: " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
-    rows = [(1, f"one own line of text\n{line(51)}"), (2, f"{line(51)}\nanother line of some text"), (3, line(50)), (4, line(50))]
-    got = {x.doc_id: x.text for x in line_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "one own line of text", 2: "another line of some text", 3: line(50), 4: line(50)}
-
-
-def test_records_near_a_layout_are_read_and_others_returned(spark):
-    import json
-
-    from causalbars.llm import chat
-
-    told = [("system", "s"), ("user", "q"), ("assistant", "a")]
-    near = [{"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"system": "s", "prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a", "system": "s"}]
-    assert all(chat.turns(x) == told and not chat.unread(x) for x in near)
-    both = {"role": "user", "text": "t", "content": "c"}
-    assert chat.turns(both) == [("user", "t")] and chat.unread(both)
-    records = [json.dumps(x) for x in [*near, both, {"else": "kept"}]]
-    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(records)], "conv_id long, place long, record string")
-    got = chat.format_records(df).first()
-    assert got.unread == records[3:] and got.unknown == 1 and len(chat.parse(got.formatted)) == 10
-
-
 @needs_data
 def test_registered_spa_has_the_reference_repetitions(spark, monkeypatch):
     monkeypatch.setattr(catalogue.selection_bias, "spa", lambda *a, reps=1000, **k: reps)
