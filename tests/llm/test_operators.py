@@ -163,6 +163,32 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert neighbours.search(spark, vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_neighbours_over_many_cells(spark, monkeypatch):
+    """Cells, parts of a hot cell and blocks of queries as many as on a large table; extra columns; queries of no row."""
+    for name, size in (("CELL_BYTES", 16 << 10), ("HELD_BYTES", 8 << 10), ("ASKED_BYTES", 1 << 10)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((30, 16))[rng.integers(0, 30, 1500)] + 0.3 * rng.standard_normal((1500, 16))
+    x[:500] = x[0]  # one point holds a third of the rows
+    columns = "vec_id long, embedding array<double>, cell string, known int, width string, spot int"
+    vectors = spark.createDataFrame([(i, v.tolist(), "a", 1, "b", 2) for i, v in enumerate(x)], columns).repartition(5)
+    asked = [(i, x[i].tolist()) for i in range(0, 1500, 50)] + [(9001, (-x[0]).tolist()), (9002, [1.0] + [0.0] * 15)]
+    got = collections.defaultdict(list)
+    for r in neighbours.search(spark, vectors, spark.createDataFrame(asked, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    n, hits = np.sqrt((x * x).sum(1)), 0
+    for q, v in asked:
+        v = np.array(v)
+        cos = (x * v).sum(1) / (n * np.sqrt((v * v).sum()))
+        want = [i for i in np.lexsort((np.arange(1500), -cos)) if i != q][:5]
+        own = [i for _, i in sorted(got[q])]
+        assert len(own) == 5
+        if q < 500:
+            assert own == want
+        hits += len(set(want) & set(own))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 10) - 18.307) < 1e-3
 
