@@ -444,3 +444,13 @@ def test_large_keys_are_not_broadcast(spark, docs, monkeypatch):
     keys = docs(rows[:15]).select("doc_id", F.xxhash64("text").alias("text_hash"))
     got = common.by_key(docs(rows), keys, "left_anti")
     assert {r.doc_id for r in got.collect()} == set(range(15, 20)) and "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_folder_is_never_local_on_a_cluster():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    conf = SimpleNamespace(get=lambda name, default: "hdfs://store/tmp/")
+    assert common.shared_dir(SimpleNamespace(conf=conf)) == "hdfs://store/tmp"
