@@ -274,15 +274,17 @@ def _cells(batches):
 
 def near_overlaps(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """As ``overlaps``, for pairs of which many share both their classes: those of a component of the pairs are compared
-    in cells, of two blocks of about ``CELL`` shingles, so that a set is sent once to each cell and not with each pair."""
+    in cells, of two blocks of about ``CELL`` shingles, so that a set is sent once to each cell that has a pair of it,
+    and neither with each pair nor, in a large component of few pairs, to every cell of its block."""
     groups = components(spark, pairs)
     sized = groups.join(sets.select(F.col("sig").alias("node"), "n"), "node")
     blocks = sized.groupBy("component").agg(F.expr(f"1 + sum(n) div {CELL}").alias("blocks"))
     placed = common.written(spark, sized.join(blocks, "component").select("node", "component", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "join-cells")
-    told = placed.select("component", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"), F.col("node").alias("sig")).join(sets.select("sig", "tokens"), "sig")
-    told = told.select("component", F.expr("least(block, other) AS lo"), F.expr("greatest(block, other) AS hi"), F.col("sig").alias("u"), F.lit(None).cast("string").alias("v"), "tokens")
     asked = pairs.join(placed.select(F.col("node").alias("u"), "component", F.col("block").alias("bu")), "u").join(placed.select(F.col("node").alias("v"), F.col("block").alias("bv")), "v")
-    asked = asked.select("component", F.expr("least(bu, bv) AS lo"), F.expr("greatest(bu, bv) AS hi"), "u", "v", F.lit(None).cast("binary").alias("tokens"))
+    asked = common.written(spark, asked.selectExpr("component", "least(bu, bv) AS lo", "greatest(bu, bv) AS hi", "u", "v"), "join-asked")
+    told = asked.select("component", "lo", "hi", F.explode(F.array("u", "v")).alias("u")).distinct().join(sets.select(F.col("sig").alias("u"), "tokens"), "u")
+    told = told.select("component", "lo", "hi", "u", F.lit(None).cast("string").alias("v"), "tokens")
+    asked = asked.withColumn("tokens", F.lit(None).cast("binary"))
     both = told.unionByName(asked).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", F.col("v").asc_nulls_first())
     return both.mapInArrow(common.lean(_cells), "u string, v string, nu long, nv long, overlap long")
 
