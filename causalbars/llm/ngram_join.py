@@ -9,9 +9,11 @@ The join finds the components of linked documents; copies and families of near c
 2. Equal sets become classes. Classes that are left are glued by min-hashes: members of a bucket are verified against
    the bucket's first, which gives links, and stars: each class with its nearest verified centre.
 3. Two classes that link share a shingle of their prefixes (the rarest first), so stars of unlinked components that
-   share one are candidates. Centres further apart than the threshold and both radii allow are dropped (the Jaccard
-   distance obeys the triangle inequality): first by their sizes and by parity sketches, which bound the distance from
-   below, while a shingle's list is read, then by their sets. Stars that remain form clusters.
+   share one are candidates. The stars of a long list become one group as they are, by a row each; only pairs of short
+   lists and of different groups are spelt out, at most ``LIST / 2`` for a star of a list. Centres further apart than
+   the threshold and both radii allow are dropped (the Jaccard distance obeys the triangle inequality): first by their
+   sizes and by parity sketches, which bound the distance from below, while a shingle's list is read, then by their
+   sets. Stars that remain form clusters with the groups.
 4. In each cluster all classes outside its largest component query the cluster's inverted lists by DivideSkip: the
    short lists are merged by a heap, the long ones are probed by binary search, and classes of the required overlap
    link. Large clusters are searched in cells of bounded size (blocks of the index by blocks of queries).
@@ -36,9 +38,9 @@ SHINGLE, THRESHOLD = 5, 75
 #: Shingles that a task gathers before it sends them, shingles in a bucket (about), bytes of text for each of which a
 #: shingle is reckoned, min-hashes for gluing, and cells of the table of shingles' frequencies, a byte each.
 SEGMENT, BUCKET, TEXT_BYTES, GLUE, CELLS = 1 << 20, 1 << 21, 6, 6, 1 << 22
-#: Shingles in a block of a cluster, stars in a block of a shingle's list, pairs that a task remembers so as not to
-#: repeat them, and pairs of one class that a task compares.
-CELL, LIST, SEEN, PAIRS = 1 << 20, 256, 400_000, 512
+#: Shingles in a block of a cluster, stars of a shingle's list whose pairs are spelt out (those of a longer one are a
+#: group), pairs that a task remembers so as not to repeat them, and pairs of one class that a task compares.
+CELL, LIST, SEEN, PAIRS = 1 << 20, 64, 400_000, 512
 NOBODY = np.uint32(0xFFFFFFFF)
 
 
@@ -339,30 +341,27 @@ def apart(n: np.ndarray, m: np.ndarray, sketches: np.ndarray, others: np.ndarray
 
 
 def _candidates(threshold: int):
-    """Pairs of stars of different components that may be near enough, of two blocks of a shingle's list or, where lo is
-    hi, of one. Blocks come one by one, and hold about ``LIST`` stars."""
+    """Pairs of stars of different components and groups that may be near enough, of one shingle's list, which come one
+    by one and hold at most ``LIST`` stars."""
 
     names, numbers, seen = [], {}, set()  # the stars and pairs that a task has met; forgotten when there are many
 
     def arrays(rows):
         by: dict[int, list] = {}
         for row in rows:
-            by.setdefault(len(row[4]), []).append(row)
+            by.setdefault(len(row[5]), []).append(row)
         for width, own in by.items():
-            for lo in range(0, len(own), LIST):
-                x = own[lo : lo + LIST]
-                for p in x:
-                    if numbers.setdefault(p[0], len(names)) == len(names):
-                        names.append(p[0])
-                yield np.array([numbers[p[0]] for p in x]), np.array([p[1] for p in x]), np.array([p[2] for p in x]), np.array([p[3] for p in x]), np.frombuffer(b"".join(p[4] for p in x), np.uint64).reshape(-1, width // 8)
-
-    def pairs(sides, alone):
+            for p in own:
+                if numbers.setdefault(p[0], len(names)) == len(names):
+                    names.append(p[0])
+            yield np.array([numbers[p[0]] for p in own]), np.array([p[1] for p in own]), np.array([p[2] for p in own]), np.array([p[3] for p in own]), np.array([p[4] for p in own]), np.frombuffer(b"".join(p[5] for p in own), np.uint64).reshape(-1, width // 8)
+
+    def pairs(rows):
         """New pairs, as numbers of their stars."""
-        ones = list(arrays(sides[0]))
-        twos = ones if alone else list(arrays(sides[1]))
-        for i, (stars, comps, n, r, sk) in enumerate(ones):
-            for others, comps2, n2, r2, sk2 in twos[: i + 1] if alone else twos:
-                near = (apart(n, n2, sk, sk2) <= 1 - threshold / 100 + r[:, None] + r2[None, :] + 1e-9) & (comps[:, None] != comps2[None, :])
+        ones = list(arrays(rows))
+        for i, (stars, comps, groups, n, r, sk) in enumerate(ones):
+            for others, comps2, groups2, n2, r2, sk2 in ones[: i + 1]:
+                near = (apart(n, n2, sk, sk2) <= 1 - threshold / 100 + r[:, None] + r2[None, :] + 1e-9) & (comps[:, None] != comps2[None, :]) & (groups[:, None] != groups2[None, :])
                 a, b = np.nonzero(near)
                 found = np.unique(np.minimum(stars[a], others[b]) << 32 | np.maximum(stars[a], others[b]))
                 new = [x for x in found.tolist() if x not in seen]
@@ -376,13 +375,12 @@ def _candidates(threshold: int):
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())], ["u", "v"])
 
     def run(batches):
-        key, sides, found = None, ([], []), []
+        key, rows, found = None, [], []
         for batch in batches:
-            for token, lo, hi, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (token, lo, hi) != key:
-                    if key:
-                        found.extend(pairs(sides, key[1] == key[2]))
-                    key, sides = (token, lo, hi), ([], [])
+            for token, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if token != key:
+                    found.extend(pairs(rows))
+                    key, rows = token, []
                     if len(found) >= 50_000 or len(seen) >= SEEN:
                         yield batch_of(found)
                         found.clear()
@@ -390,9 +388,8 @@ def _candidates(threshold: int):
                         seen.clear()
                         names.clear()
                         numbers.clear()
-                sides[side].append(row)
-        if key:
-            found.extend(pairs(sides, key[1] == key[2]))
+                rows.append(row)
+        found.extend(pairs(rows))
         yield batch_of(found)
 
     return common.lean(run)
@@ -521,17 +518,18 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     listed = members.join(sets.select("sig", "tokens"), "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(levels, threshold), "token long, star string, comp string")
     # A shingle's list counts if it holds several components; the window spills, so a list may be of any length.
     listed = listed.repartition("token").dropDuplicates(["token", "star", "comp"])
-    listed = listed.selectExpr("*", "min(comp) OVER (PARTITION BY token) AS least", "max(comp) OVER (PARTITION BY token) AS most", "count(*) OVER (PARTITION BY token) AS c")
-    listed = common.written(spark, listed.filter("least <> most").selectExpr("token", "star", "comp", f"1 + c div {LIST} AS parts", f"cast(pmod(xxhash64(star), 1 + c div {LIST}) AS int) AS part"), "join-lists")
+    listed = listed.selectExpr("*", "min(comp) OVER (PARTITION BY token) AS least", "max(comp) OVER (PARTITION BY token) AS most", "min(star) OVER (PARTITION BY token) AS head", "count(*) OVER (PARTITION BY token) AS c")
+    listed = common.written(spark, listed.filter("least <> most").select("token", "star", "comp", "head", "c"), "join-lists")
+    # Long lists: each star with the list's first one, whatever their distance. What is in a cluster is searched exactly.
+    grouped = common.written(spark, listed.filter(f"c > {LIST}").select(F.col("star").alias("u"), F.col("head").alias("v")).distinct(), "join-grouped")
+    groups = components(spark, grouped).select(F.col("node").alias("star"), F.col("component").alias("grp"))
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
     centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(common.lean(_sketches), "star string, n long, sketch binary").join(radius, "star")
-    # Each block of a list meets itself and every other one; (lo, hi) names the meeting.
-    met = listed.join(centres, "star").withColumn("other", F.explode(F.expr("sequence(0, cast(parts AS int) - 1)")))
-    met = met.selectExpr("token", "least(part, other) AS lo", "greatest(part, other) AS hi", "cast(part > other AS int) AS side", "star", "comp", "n", "r", "sketch")
-    stars = met.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_candidates(threshold), "u string, v string").distinct()
+    met = listed.filter(f"c <= {LIST}").select("token", "star", "comp").join(centres.join(groups, "star", "left"), "star").selectExpr("token", "star", "comp", "coalesce(grp, star) AS grp", "n", "r", "sketch")
+    stars = met.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(threshold), "u string, v string").distinct()
     far = near_overlaps(spark, common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")
     close = far.filter(f"1 - overlap / (nu + nv - overlap) <= {1 - threshold / 100} + ru + rv + 1e-9").select("u", "v")
-    clusters = components(spark, common.written(spark, close, "join-close"))
+    clusters = components(spark, common.written(spark, close.unionByName(grouped), "join-close"))
 
     inside = common.written(spark, members.join(clusters.select(F.col("node").alias("star"), F.col("component").alias("cluster")), "star").select("cluster", "sig", "n", "comp"), "join-clusters")
     per = inside.groupBy("cluster", "comp").agg(F.sum("n").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"))

@@ -367,6 +367,27 @@ def test_ngram_join_matches_brute_force(spark, docs, monkeypatch, small):
     assert sorted(r.doc_id for r in kept if r.text) == sorted(firsts)
 
 
+def test_ngram_join_spells_out_no_pairs_of_a_large_family(spark, docs, monkeypatch):
+    """Near copies of one text that mostly do not link: candidates grow with the family, not with its square."""
+    written, made = common.written, {}
+
+    def counted(spark, df, name, *more, **named):
+        made[name] = (out := written(spark, df, name, *more, **named)).count()
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    rng, rows = random.Random(16), []
+    base = [f"word{i}" for i in range(150)]
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 2 + i % 2):
+            copy[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs(rows)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert made["join-stars"] <= 2 * len(rows)
+
+
 def test_ngram_join_of_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark, odd).collect()), key=str)
     assert got == brute_components(ODD)
