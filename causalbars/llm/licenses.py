@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
 A document's candidate blocks are the lines around a licensing cue. Every wording of every license is looked for at every
-place of a block that holds its distinguishing words (the license's name and version), which must stand there exactly and
-unbroken; a word-by-word comparison lists what differs of the other words, of which a bounded share may. All confirmed
-wordings that do not overlap are found, however many a block holds. The stretch around each is compressed plainly and
-with the wording as a zstandard raw dictionary, which tells how much shorter it becomes.
+place of a block that holds its distinguishing words (the license's name and version). The stretch there is compressed
+plainly and with the wording as a zstandard raw dictionary, and candidates are ranked by the bytes that this saves. In that
+order they are confirmed, none left out: the distinguishing words must stand exactly and unbroken; a word-by-word comparison
+lists what differs of the other words, of which a bounded share may. All confirmed wordings that do not overlap are found,
+however many a block holds; of overlapping ones the best ranked.
 
 Cues are looked for by the scan itself, so only documents with a candidate leave the JVM.
 """
@@ -147,17 +148,34 @@ class Scanner:
         data = stretch.encode()
         return 1 - len(self.given[i].compress(data)) / len(self.plain.compress(data))
 
-    def confirm(self, block: str) -> list[tuple[str, int, int, int, int]]:
-        """(license, words that differ, start, end, wording) of all wordings that stand in the block and do not overlap:
-        of overlapping ones that with the least differing words, then the longest."""
-        have = words(block)
+    def saved(self, i: int, stretch: str) -> int:
+        """Bytes by which the wording shortens the compressed stretch."""
+        data = stretch.encode()
+        return len(self.plain.compress(data)) - len(self.given[i].compress(data))
+
+    def ranked(self, block: str, have: list[str]) -> list[tuple[int, int]]:
+        """(wording, place) of all candidates: places where a wording's phrases may stand, by the bytes that it saves of
+        the stretch there, most first. None is left out; ties go by name and place."""
         at: dict[str, list[int]] = {}
         for i, w in enumerate(have):
             at.setdefault(w, []).append(i)
-        able = [(d[0], d[1] - d[2], name, d[1], d[2], i) for i, (name, w) in enumerate(self.wordings) for place in w.places(have, at) if (d := w.stands(have, place)) is not None]
+        spans = [m.span() for m in WORD.finditer(block)]
+        found = []
+        for i, (name, w) in enumerate(self.wordings):
+            for place in w.places(have, at):
+                lo, hi = max(place - SPARE, 0), min(max(place, 0) + len(w.words) + 2, len(spans))
+                found.append((-self.saved(i, block[spans[lo][0] : spans[hi - 1][1]]), name, place, i))
+        return [(i, place) for _, _, place, i in sorted(found)]
+
+    def confirm(self, block: str) -> list[tuple[str, int, int, int, int]]:
+        """(license, words that differ, start, end, wording) of all wordings that stand in the block and do not overlap:
+        candidates are confirmed in the order of their ranks, so that of overlapping ones the best ranked stays."""
+        have = words(block)
         taken, found = [False] * len(have), []
-        for n, _, name, lo, hi, i in sorted(able):
-            if not any(taken[lo:hi]):
+        for i, place in self.ranked(block, have):
+            name, w = self.wordings[i]
+            if (d := w.stands(have, place)) is not None and not any(taken[d[1] : d[2]]):
+                n, lo, hi, _ = d
                 taken[lo:hi] = [True] * (hi - lo)
                 found.append((name, n, lo, hi, i))
         return sorted(found, key=lambda x: x[2])

@@ -58,3 +58,14 @@ def test_records_near_a_layout_are_read_and_others_returned(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(records)], "conv_id long, place long, record string")
     got = chat.format_records(df).first()
     assert got.unread == records[3:] and got.unknown == 1 and len(chat.parse(got.formatted)) == 10
+
+
+def test_compression_ranks_what_wording_confirms():
+    from causalbars.llm import licenses
+
+    long, short = "Use of this program is granted to every member under the house rules 7", "house rules 7"
+    scanner = licenses.Scanner({"club": [(long, ("house rules 7",))], "house": [(short, ("house rules 7",))]})
+    block = "License: Use of this program was granted to every member under the house rules 7 of 1990"
+    # The short wording differs in no word, the long one in one, but it shortens the stretch by far more.
+    assert [x[:2] for x in scanner.confirm(block)] == [("club", 1)]
+    assert [x[0] for x in scanner.confirm(f"{block}. Copyright, other house rules 7")] == ["club", "house"]
