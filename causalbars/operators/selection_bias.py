@@ -9,6 +9,7 @@ from statistics import NormalDist
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 EULER = 0.5772156649015329
 
@@ -90,44 +91,57 @@ def report(spark: SparkSession, returns: DataFrame, order: DataFrame, effective_
     return spark.createDataFrame([(best.config_id, best.sr * 252**0.5, best.n, trials, psr, dsr, minimum_backtest_length(trials, target), found.pbo if found else None, notes)], schema)
 
 
-def _spa_draws(shared, mean_block: float, seed: int):
-    def run(batches):
+def _spa_counts(n: int, reps: range, mean_block: float, seed: int) -> np.ndarray:
+    """How often each of n dates is drawn, per repetition, by the stationary bootstrap."""
+    out = np.empty((len(reps), n))
+    for i, rep in enumerate(reps):
+        rng = np.random.default_rng([seed, rep])
+        fresh = rng.random(n) < 1 / mean_block
+        fresh[0] = True
+        at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        out[i] = np.bincount((rng.integers(0, n, n)[at] + np.arange(n) - at) % n, minlength=n)
+    return out
+
+
+def _spa_block(n: int, reps: int, mean_block: float, seed: int):
+    """A block of configurations: each repetition's largest mean above each null's, and as rep -1 the largest means."""
+
+    def run(block):
         import pandas as pd
 
-        d, centred = shared.value
-        n = len(d)
-        for batch in batches:
-            out = []
-            for rep in batch["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                fresh = rng.random(n) < 1 / mean_block
-                fresh[0] = True
-                at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-                rows = (rng.integers(0, n, n)[at] + np.arange(n) - at) % n
-                out.append((int(rep), *(float(max(0.0, (d[rows].mean(axis=0) - c).max())) for c in centred)))
-            yield pd.DataFrame(out, columns=["rep", "lower", "consistent", "upper"])
+        d = block.pivot(index="row", columns="config_id", values="d").sort_index().to_numpy(float)
+        scale = d.std(axis=0, ddof=1)
+        z = d / np.where(scale > 0, scale, 1.0)
+        mean = z.mean(axis=0)
+        centred = np.maximum(mean, 0), np.where(mean >= -math.sqrt(2 * math.log(math.log(n)) / n), mean, 0), mean
+        out = [(-1, *[float(mean.max())] * 3)]
+        for lo in range(0, reps, 64):
+            some = range(lo, min(lo + 64, reps))
+            drawn = _spa_counts(n, some, mean_block, seed) @ z / n
+            out += zip(some, *((drawn - c).max(axis=1).tolist() for c in centred), strict=True)
+        return pd.DataFrame(out, columns=["rep", "lower", "consistent", "upper"])
 
     return run
 
 
-def spa(spark: SparkSession, returns: DataFrame, benchmark: DataFrame, reps: int = 1000, mean_block: float = 10.0, seed: int = 7, most_cells: int = 20_000_000) -> DataFrame:
+def spa(spark: SparkSession, returns: DataFrame, benchmark: DataFrame, reps: int = 1000, mean_block: float = 10.0, seed: int = 7, cells: int = 1_000_000) -> DataFrame:
     """Hansen's test of superior ability by the stationary bootstrap: p-values of the lower, consistent and upper null.
 
-    ``benchmark(date, ret)``, aligned on common dates. The table of dates by configurations is checked against
-    ``most_cells`` before it is sent to the tasks that share out the repetitions.
+    ``benchmark(date, ret)``, aligned on common dates; dates on which any configuration lacks a return are left out, and
+    of fewer than three dates the p-values are null. A task holds a block of configurations of about ``cells`` cells (one
+    configuration at least) and draws the dates that every other one draws, so any number of configurations will do.
     """
     gained = returns.join(benchmark.select("date", F.col("ret").alias("b")), "date").filter("ret IS NOT NULL AND b IS NOT NULL").select("date", "config_id", (F.col("ret") - F.col("b")).alias("d"))
-    sizes = gained.agg(F.count_distinct("date").alias("n"), F.count_distinct("config_id").alias("k")).first()
-    if sizes.n * sizes.k > most_cells:
-        raise ValueError(f"{sizes.n} dates x {sizes.k} configurations exceed {most_cells} cells")
-    wide = gained.groupBy("date").pivot("config_id").agg(F.first("d")).orderBy("date").toPandas().dropna()
-    d = wide.drop(columns="date").to_numpy(float)
-    n = len(d)
-    scale = d.std(axis=0, ddof=1)
-    z = d / np.where(scale > 0, scale, 1.0)
-    mean = z.mean(axis=0)
-    lower = np.maximum(mean, 0)
-    consistent = np.where(mean >= -math.sqrt(2 * math.log(math.log(n)) / n), mean, 0)
-    stat = max(0.0, float(mean.max()))
-    draws = spark.range(reps).repartition(8).mapInPandas(_spa_draws(spark.sparkContext.broadcast((z, (lower, consistent, mean))), mean_block, seed), "rep long, lower double, consistent double, upper double")
-    return draws.agg(*(F.avg((F.col(c) > stat).cast("int")).alias(f"p_{c}") for c in ("lower", "consistent", "upper")))
+    gained = gained.groupBy("date", "config_id").agg(F.first("d").alias("d"))
+    k = gained.agg(F.count_distinct("config_id")).first()[0]
+    full = [x.date for x in gained.groupBy("date").agg(F.count("*").alias("c")).filter(F.col("c") == k).select("date").orderBy("date").collect()]
+    n = len(full)
+    if n < 3:
+        return spark.createDataFrame([(None, None, None)], "p_lower double, p_consistent double, p_upper double")
+    rows = spark.createDataFrame(list(zip(full, range(n), strict=True)), gained.select("date").schema.add("row", IntegerType()))
+    blocks = -(-n * k // cells)
+    placed = gained.join(F.broadcast(rows), "date").select(F.pmod(F.xxhash64("config_id"), F.lit(blocks)).alias("block"), "config_id", "row", "d")
+    draws = placed.groupBy("block").applyInPandas(_spa_block(n, reps, mean_block, seed), "rep long, lower double, consistent double, upper double")
+    best = draws.groupBy("rep").agg(*(F.greatest(F.max(c), F.lit(0.0)).alias(c) for c in ("lower", "consistent", "upper")))
+    stat = best.filter("rep = -1").select(F.col("upper").alias("stat"))
+    return best.filter("rep >= 0").join(F.broadcast(stat)).agg(*(F.avg((F.col(c) > F.col("stat")).cast("int")).alias(f"p_{c}") for c in ("lower", "consistent", "upper")))

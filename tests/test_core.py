@@ -2,6 +2,7 @@ import datetime as dt
 import math
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from world import panel, plain_simulation
@@ -235,6 +236,29 @@ def test_selection_bias(spark):
     assert p.p_lower <= p.p_consistent <= p.p_upper and p.p_upper < 0.5
 
 
+def test_spa_in_blocks_equals_one_array(spark):
+    rng, n, k, reps = np.random.default_rng(4), 60, 7, 50
+    d = rng.normal(0.0005, 0.01, (n, k))
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(n)]
+    rows = [(f"c{j}", days[i], float(d[i, j])) for i in range(n) for j in range(k) if (i, j) != (5, 2)]  # date 5 is left out
+    returns = spark.createDataFrame(rows, "config_id string, date date, ret double")
+    flat = spark.createDataFrame([(x, 0.0) for x in days], "date date, ret double")
+    z = np.delete(d, 5, axis=0)
+    z, n = z / z.std(axis=0, ddof=1), n - 1
+    mean, above = z.mean(axis=0), [0, 0, 0]
+    for rep in range(reps):
+        own = np.random.default_rng([7, rep])
+        fresh = own.random(n) < 0.1
+        fresh[0] = True
+        at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        drawn = z[(own.integers(0, n, n)[at] + np.arange(n) - at) % n].mean(axis=0)
+        for i, c in enumerate((np.maximum(mean, 0), np.where(mean >= -math.sqrt(2 * math.log(math.log(n)) / n), mean, 0), mean)):
+            above[i] += max(0.0, (drawn - c).max()) > max(0.0, mean.max())
+    for cells in (100, 1_000_000):
+        assert list(selection_bias.spa(spark, returns, flat, reps=reps, cells=cells).first()) == pytest.approx([x / reps for x in above])
+    assert list(selection_bias.spa(spark, returns, flat.limit(2), reps=reps).first()) == [None] * 3  # was an error
+
+
 def test_sweep_sets():
     assert len(sweep.grid(Settings())) == 41
     assert sweep.ladder(Settings())[0]["S0"].execution.same_bar_fill
