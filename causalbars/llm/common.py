@@ -31,14 +31,27 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 _SCRATCH: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def unshuffled(spark: SparkSession):
+    """Shuffle files of the tables written within go with each table's job, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage is cut and any executor may be lost.
 
-    Within ``scratch`` the table goes when that ends, unless it is kept."""
+    Its shuffle files go when the table is written. Within ``scratch`` the table goes when that ends, unless it is kept."""
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    with unshuffled(spark):
+        df.write.parquet(path)
     if _SCRATCH and not keep:
         _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -108,12 +121,13 @@ def lean(run):
     @functools.wraps(run)
     def lean_run(*args):
         yield from run(*args)
-        _released()
+        released()
 
     return lean_run
 
 
-def _released() -> None:
+def released() -> None:
+    """Gives memory that is not in use back to the system."""
     import ctypes
 
     import pyarrow as pa

@@ -396,21 +396,32 @@ def _candidates(threshold: int):
 
 
 def _prefixes(levels, threshold: int):
-    """Prefixes in order of rarity: shingles by the level of their cell, then by hash."""
+    """Prefixes, packed, in order of rarity: shingles by the level of their cell, then by hash."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for star, comp, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            out = []
+            for data in batch.column(1).to_pylist():
                 tokens = np.frombuffer(data, np.uint64)
                 order, n = levels.value[((tokens >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int64)], len(tokens)
-                prefix = tokens[np.lexsort((tokens, order))[: n - -(-threshold * n // 100) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array([star] * len(prefix), pa.string()), pa.array([comp] * len(prefix), pa.string())], ["token", "star", "comp"])
+                out.append(tokens[np.lexsort((tokens, order))[: n - -(-threshold * n // 100) + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sig", "prefix"])
 
     return common.lean(run)
 
 
+def _spelt(batches):
+    """A row for each shingle of a packed prefix."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for star, comp, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            prefix = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array([star] * len(prefix), pa.string()), pa.array([comp] * len(prefix), pa.string())], ["token", "star", "comp"])
+
+
 # --- 4. T-occurrence search
 
 
@@ -515,7 +526,8 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     members = common.written(spark, members.select("sig", "n", F.coalesce("centre", "sig").alias("star"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "sig").alias("comp")), "join-members")
 
     levels = spark.sparkContext.broadcast(_levels(spark, sets))
-    listed = members.join(sets.select("sig", "tokens"), "sig").select("star", "comp", "tokens").mapInArrow(_prefixes(levels, threshold), "token long, star string, comp string")
+    prefixes = sets.select("sig", "tokens").mapInArrow(_prefixes(levels, threshold), "sig string, prefix binary")  # a quarter of a set is sent
+    listed = members.join(prefixes, "sig").select("star", "comp", "prefix").mapInArrow(common.lean(_spelt), "token long, star string, comp string")
     # A shingle's list counts if it holds several components; the window spills, so a list may be of any length.
     listed = listed.repartition("token").dropDuplicates(["token", "star", "comp"])
     listed = listed.selectExpr("*", "min(comp) OVER (PARTITION BY token) AS least", "max(comp) OVER (PARTITION BY token) AS most", "min(star) OVER (PARTITION BY token) AS head", "count(*) OVER (PARTITION BY token) AS c")
@@ -524,7 +536,7 @@ def links(spark: SparkSession, sets: DataFrame, threshold: int) -> DataFrame:
     grouped = common.written(spark, listed.filter(f"c > {LIST}").select(F.col("star").alias("u"), F.col("head").alias("v")).distinct(), "join-grouped")
     groups = components(spark, grouped).select(F.col("node").alias("star"), F.col("component").alias("grp"))
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
-    centres = sets.join(members.select(F.col("star").alias("sig")).distinct(), "sig", "left_semi").select("sig", "n", "tokens").mapInArrow(common.lean(_sketches), "star string, n long, sketch binary").join(radius, "star")
+    centres = sets.select("sig", "n", "tokens").mapInArrow(common.lean(_sketches), "star string, n long, sketch binary").join(radius, "star")
     met = listed.filter(f"c <= {LIST}").select("token", "star", "comp").join(centres.join(groups, "star", "left"), "star").selectExpr("token", "star", "comp", "coalesce(grp, star) AS grp", "n", "r", "sketch")
     stars = met.repartition("token").sortWithinPartitions("token").mapInArrow(_candidates(threshold), "u string, v string").distinct()
     far = near_overlaps(spark, common.written(spark, stars, "join-stars"), sets).join(radius.select(F.col("star").alias("u"), F.col("r").alias("ru")), "u").join(radius.select(F.col("star").alias("v"), F.col("r").alias("rv")), "v")

@@ -451,6 +451,38 @@ def test_components(spark, monkeypatch, links):
     assert got == {x: root(x) for p in pairs for x in p if p[0] != p[1]}
 
 
+@pytest.mark.parametrize("dense", [16, 2])
+def test_many_links_of_few_nodes_make_few_rows(spark, monkeypatch, dense):
+    """Each node with many heads, as in a family of near copies: contracted rows are bounded by the nodes, and no rounds
+    follow."""
+    from causalbars.llm import components
+
+    written, made = common.written, []
+
+    def counted(*args, **named):
+        made.append((out := written(*args, **named)).count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(components, "LINKS", 50)
+    monkeypatch.setattr(components, "DENSE", dense)
+    pairs = [(f"n{i:02d}", f"h{j:02d}") for i in range(30) for j in range(12)]
+    got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(pairs, "u string, v string")).collect()}
+    assert got == {x: "h00" for p in pairs for x in p}
+    assert made[0] == 360 and made[-1] == 41 and len(made) == (2 if dense == 16 else 3)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import pathlib
+
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {p for d in folders for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    before = held()
+    common.written(spark, spark.range(1000).repartition(3, "id"), "t")
+    assert not held() - before
+    assert spark.conf.get(common._CLEANUP) == "false"
+
+
 def test_stages_keep_columns_of_any_name(spark, odd):
     names = {"lang": "_id", "hit": "_hash", "row": "_copies", "n_chars": "_copy"}
     clash = odd.withColumnsRenamed(names)
