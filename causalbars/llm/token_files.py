@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from causalbars.llm import common
 
 MANIFEST = "part int, n_docs long, n_null long, n_tokens long"
-#: Bytes of encoded pieces that a Python worker remembers, pieces that are encoded at a time, and documents that are
-#: read back at a time.
-REMEMBERED, AT_A_TIME, READ_DOCS = 12 << 20, 4096, 16_384
+#: Bytes of encoded pieces that a Python worker remembers, bytes of texts and pieces that are encoded at a time, and
+#: documents that are read back at a time.
+REMEMBERED, TEXT_BYTES, AT_A_TIME, READ_DOCS = 12 << 20, 1 << 20, 4096, 16_384
 
 #: Descriptions of normalizers and pre-tokenizers that drop white space and never join across it. With
 #: them the ids of a text are the ids of its pieces between white space, in a row.
@@ -52,6 +52,13 @@ def by_pieces(described: dict) -> bool:
     )
 
 
+def described_by_pieces(tokenizer) -> bool:
+    """As ``by_pieces``; the description takes more memory than the tokenizer itself, so tasks are told the answer."""
+    import json
+
+    return by_pieces(json.loads(tokenizer.to_str()))
+
+
 def _gathered(flat, starts, sizes, at):
     """The runs ``at`` of ``flat`` one after the other, and their sizes."""
     import numpy as np
@@ -72,8 +79,7 @@ class PieceEncoder:
     are kept from one batch to the next: beyond, only what the last batch used.
     """
 
-    def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED):
-        import json
+    def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED, exact: bool | None = None):
         import os
 
         import numpy as np
@@ -84,7 +90,7 @@ class PieceEncoder:
 
         self.tokenizer, self.dtype, self.remembered = Tokenizer.from_file(path), dtype, remembered
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.exact = by_pieces(json.loads(self.tokenizer.to_str()))
+        self.exact = described_by_pieces(self.tokenizer) if exact is None else exact
         if self.exact:
             from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
@@ -148,12 +154,27 @@ class PieceEncoder:
         return ids, np.cumsum(each, dtype=np.int64) - each, each
 
     def encode(self, texts):
-        """(ids of all texts in a row, ids in each text) of an Arrow array of strings; null: none."""
+        """(ids of all texts in a row, ids in each text) of an Arrow array of strings; null: none. Texts of about
+        ``TEXT_BYTES`` are encoded at a time."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
+        flat, sizes, lo = [np.empty(0, self.dtype)], [np.empty(0, np.int32)], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, TEXT_BYTES + (ends[lo - 1] if lo else 0), side="right")))
+            ids, each = self._encode(texts.slice(lo, hi - lo))
+            flat.append(ids)
+            sizes.append(each)
+            lo = hi
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _encode(self, texts):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.exact:
             return self._ids(texts.to_pylist())
         pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
@@ -165,9 +186,11 @@ class PieceEncoder:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoder(path: str, dtype: str) -> PieceEncoder:
+def _encoder(path: str, dtype: str, exact: bool) -> PieceEncoder:
     """One for each Python worker, kept between its tasks."""
-    return PieceEncoder(path, dtype)
+    encoder = PieceEncoder(path, dtype, exact=exact)
+    common.released()  # what reading the tokenizer's file took besides
+    return encoder
 
 
 def _put(root: str, name: str, chunks) -> None:
@@ -198,7 +221,7 @@ def _get(root: str, name: str, dtype: str, lo: int = 0, hi: int | None = None):
         return np.frombuffer(f.read_at((hi - lo) * wide, lo * wide), dtype)
 
 
-def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
+def _encode(root: str, tokenizer: str, dtype: str, end_id: int, exact: bool):
     def run(batches):
         import os
         import uuid
@@ -207,7 +230,7 @@ def _encode(root: str, tokenizer: str, dtype: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer, dtype)
+        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer, dtype, exact)
         fs, path = common.filesystem(root)
         fs.create_dir(path, recursive=True)
         own = f"{path}/.part-{part:06d}.ids.{os.getpid()}.{uuid.uuid4().hex}"
@@ -258,11 +281,12 @@ def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer
     from tokenizers import Tokenizer
 
     common.small_batches(spark)
-    dtype = "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 65536 and end_id < 65536 else "<u4"
+    known = Tokenizer.from_file(tokenizer)
+    dtype, exact = "<u2" if known.get_vocab_size() <= 65536 and end_id < 65536 else "<u4", described_by_pieces(known)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text"))  # splits an id that very many rows share
     ranged = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    parts = common.written(spark, ranged.mapInArrow(_encode(root, tokenizer, dtype, end_id), MANIFEST), "token-parts")
+    parts = common.written(spark, ranged.mapInArrow(_encode(root, tokenizer, dtype, end_id, exact), MANIFEST), "token-parts")
     based = parts.selectExpr("*", "coalesce(sum(n_tokens) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base")
     based = based.filter("n_docs > 0").repartition(max(parts.count(), 1)).mapInArrow(_finish(root), f"{MANIFEST}, base long")
     based.withColumn("dtype", F.lit(dtype)).write.parquet(f"{root}/manifest")

@@ -67,6 +67,22 @@ def test_piece_encoder_is_exact(name):
             assert [i for ids, _ in found for i in ids.tolist()] == [i for w in want for i in w]
 
 
+def test_encoder_takes_bounded_texts_and_no_description(monkeypatch):
+    import pyarrow as pa
+
+    path, sizes = public.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 100)
+    monkeypatch.setattr(token_files, "by_pieces", None)  # would fail if a task read the description
+    encoder = token_files.PieceEncoder(path, "<u4", exact=True)
+    plain, own = tokenizers.Tokenizer.from_file(path), encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: (sizes.append((len(texts), sum(len(t) for t in texts.to_pylist()))), own(texts))[1])
+    texts = ["one two three " * (i % 5) for i in range(50)] + ["long words " * 30, None]
+    ids, each = encoder.encode(pa.array(texts))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert each.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(sizes) > 5 and all(n == 1 or size <= 100 for n, size in sizes)
+
+
 # --- 2
 
 
