@@ -4,45 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent on one machine, as in tests, a temporary folder takes its place; on a cluster
-    its absence is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="causalbars-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from causalbars.sources.stored import _CLEANUP, new_dir, shared_dir, unshuffled  # noqa: F401
 
 
 _SCRATCH: list[list[str]] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextlib.contextmanager
-def unshuffled(spark: SparkSession):
-    """Shuffle files of the tables written within go with each table's job, not when the driver collects its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:

@@ -269,3 +269,15 @@ def test_sweep_sets():
 def test_null_picks_are_in_range(spark):
     r = spark.range(1000).select(nulls.pick(F.col("id"), F.col("id") * 3, 2).alias("x")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count_distinct("x").alias("n")).first()
     assert 0 <= r.a and r.b < nulls.PRIME and r.n > 990
+
+
+def test_ladder_computes_its_panel_once(spark):
+    """Bars, panel and life cycles are written once: the summary reads them, and computes none of them again."""
+    from causalbars.plans import catalogue
+    from causalbars.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    got = catalogue.queries()["ladder_summary"](spark, d)
+    assert not [x for x in got.inputFiles() if "lineitem" in x]
+    bars = [sorted(map(tuple, tables.weekly_bars(spark, d, by_symbol).collect())) for by_symbol in (False, True)]
+    assert bars[0] == bars[1]
