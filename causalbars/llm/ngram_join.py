@@ -16,7 +16,8 @@ The join finds the components of linked documents; copies and families of near c
    sets. Stars that remain form clusters with the groups.
 4. In each cluster all classes outside its largest component query the cluster's inverted lists by DivideSkip: the
    short lists are merged by a heap, the long ones are probed by binary search, and classes of the required overlap
-   link. Large clusters are searched in cells of bounded size (blocks of the index by blocks of queries).
+   link. Large clusters are searched in cells of bounded size (blocks of the index by blocks of queries). A cell keeps
+   what its links have joined: only a link that joins more is a row, so that rows are fewer than the cell's components.
 
 Everything between the steps is a written table; only a table of ``CELLS`` bytes, used for the shingles' order alone,
 passes the driver.
@@ -466,8 +467,9 @@ def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.0085) -> tuple[np
 
 
 def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[str, str, np.ndarray]], threshold: int = THRESHOLD) -> list[tuple[str, str]]:
-    """Links of ``queries`` (class, component, set) with the ``index`` in other components. A component that a query
-    has reached in this cell is not searched again for it."""
+    """Links of ``queries`` (class, component, set) with the ``index`` that join what all their links join: a forest of
+    components, of fewer links than the cell has components. Queries of the component that has most of the index are
+    searched in the rest of it alone."""
     if not index or not queries:
         return []
     index = sorted(index, key=lambda x: len(x[2]))
@@ -475,20 +477,35 @@ def search_cell(index: list[tuple[str, str, np.ndarray]], queries: list[tuple[st
     tokens = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in index)])
     order = np.argsort(tokens, kind="stable")
     owner, tokens = np.repeat(np.arange(len(index)), sizes)[order], tokens[order]
+    numbers: dict[str, int] = {}
+    whose = np.array([numbers.setdefault(x[1], len(numbers)) for x in index])
+    asking = [numbers.setdefault(x[1], len(numbers)) for x in queries]
+    up, weight = list(range(len(numbers))), np.bincount(whose, weights=sizes, minlength=len(numbers)).tolist()
+    rest, rest_of, without = (owner, tokens), -1, 0.0  # the index without what a component, ``rest_of``, had of it then
+
+    def root(x: int) -> int:
+        while (y := up[x]) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
     out = []
-    for sig, comp, own in queries:
-        n = len(own)
+    for (sig, _, own), mine in zip(queries, asking, strict=True):
+        n, mine = len(own), root(mine)
+        if weight[mine] >= without + len(tokens) / 8:
+            other = (np.array([root(x) for x in range(len(up))]) != mine)[whose][owner]
+            rest, rest_of, without = (owner[other], tokens[other]), mine, weight[mine]
+        owners, held = rest if rest_of >= 0 and root(rest_of) == mine else (owner, tokens)
         # Sizes that can link; lists hold records by size, so the range is one slice of each.
         lo, hi = int(np.searchsorted(sizes, -(-threshold * n // 100))), int(np.searchsorted(sizes, 100 * n // threshold, side="right"))
-        a, b = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
-        lists = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] for x in (owner[i:j] for i, j in zip(a[b > a], b[b > a], strict=True))]
+        a, b = np.searchsorted(held, own), np.searchsorted(held, own, side="right")
+        lists = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] for x in (owners[i:j] for i, j in zip(a[b > a], b[b > a], strict=True))]
         lists = [x for x in lists if len(x)]
-        reached = set()
         for record, overlap in zip(*(x.tolist() for x in divide_skip(lists, required(n, -(-threshold * n // 100), threshold))), strict=True):
-            other, theirs, _ = index[record]
-            if theirs != comp and theirs not in reached and overlap >= required(n, int(sizes[record]), threshold):
-                reached.add(theirs)
-                out.append((sig, other))
+            if (theirs := root(int(whose[record]))) != mine and overlap >= required(n, int(sizes[record]), threshold):
+                up[theirs] = mine
+                weight[mine] += weight[theirs]
+                out.append((sig, index[record][0]))
     return out
 
 

@@ -404,6 +404,69 @@ def test_ngram_join_spells_out_no_pairs_of_a_large_family(spark, docs, monkeypat
     assert made["join-stars"] <= 2 * len(rows)
 
 
+def family(rng, near, far):
+    """Sets like one of 100 shingles: ``near`` ones that link with each other, ``far`` ones that link with nothing."""
+    base, out = rng.integers(0, 1 << 63, 100, dtype=np.uint64), []
+    for edits in [4] * near + [30] * far:
+        own = base.copy()
+        own[rng.choice(100, edits, replace=False)] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+        out.append(np.unique(own))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def test_search_of_a_cell_gives_a_forest_of_its_links():
+    """Components as by all pairs of queries and index, in fewer rows than components, whatever the family's size."""
+    rng = np.random.default_rng(5)
+    for near, far, step, comps in [(60, 0, 1, 60), (40, 30, 1, 70), (40, 30, 2, 70), (30, 20, 1, 9), (0, 40, 1, 40), (30, 1, 3, 31)]:
+        sets = [x for size in (1, 2) for x in family(rng, near // size, far // size)]
+        rows = [(f"s{i}", f"c{i % comps if i < comps else i}", x) for i, x in enumerate(sets)]
+        index, queries = rows[:: min(step, 2)], rows[step // 2 :: step]
+        up = {c: c for _, c, _ in rows}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        of, links = {s: c for s, c, _ in rows}, 0
+        for _, c, x in queries:
+            for _, d, y in index:
+                k = len(np.intersect1d(x, y))
+                if root(c) != root(d) and 100 * k >= 75 * (len(x) + len(y) - k):
+                    up[root(c)] = root(d)
+                    links += 1
+        want = {c: root(c) for c in up}
+        got = ngram_join.search_cell(index, queries)
+        assert len(got) == links
+        up |= {c: c for c in up}
+        for s, t in got:
+            assert root(of[s]) != root(of[t])
+            up[root(of[s])] = root(of[t])
+        assert len(set(map(root, up))) == len(set(want.values())) and all(want[of[s]] == want[of[t]] for s, t in got)
+
+
+def test_ngram_join_makes_few_links_of_a_family_that_is_not_glued(spark, docs, monkeypatch):
+    """Near copies that link with each other but not with the class that their min-hashes' buckets are verified against:
+    the search's links grow with the family, not with its square."""
+    written, made = common.written, {}
+
+    def counted(spark, df, name, *more, **named):
+        made[name] = (out := written(spark, df, name, *more, **named)).count()
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    rng, rows = random.Random(2), []
+    base = [f"word{i}" for i in range(150)]
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(5, 145), 1 if i % 2 else 6):
+            copy[at] = f"new{rng.random()}"
+        rows.append((i, " ".join(copy)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs(rows)).collect()), key=str)
+    assert got == brute_components(rows)
+    assert made["join-glued"] < 10 and 50 < made["join-links"] <= 2 * len(rows)
+
+
 def test_ngram_join_of_odd_rows(spark, odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(spark, odd).collect()), key=str)
     assert got == brute_components(ODD)
